@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,19 @@ def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed only."""
     bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11)
     return bits.cast("double") / F.lit(float(1 << 53))
+
+
+def small_parts(batch: pa.RecordBatch, place: int, most: int = 4 << 20):
+    """Slices of an Arrow batch of about ``most`` bytes in the column at ``place``, that one as a list of bytes.
+
+    A single longer value is a slice by itself, so what a task makes of a batch stays small.
+    """
+    column = batch.column(place).cast(pa.binary())
+    start, held = 0, 0
+    for i in range(len(column) + 1):
+        n = (len(column[i].as_buffer()) if column[i].is_valid else 0) if i < len(column) else 0
+        if i > start and (i == len(column) or held + n > most):
+            part = batch.slice(start, i - start)
+            yield [*(c for k, c in enumerate(part.columns) if k != place), column.slice(start, i - start).to_pylist()]
+            start, held = i, 0
+        held += n

@@ -40,9 +40,12 @@ PIECE = 1 << 22
 
 
 def thresholds(max_bits: int) -> tuple[int, int, int]:
-    """Segment thresholds whose successors sum up to ``max_bits + 1``: the short segment must agree."""
-    first = (max_bits - 1 + 1) // 2
-    return first, max(max_bits - 1 - first, -1), 0
+    """Least segment thresholds whose successors sum up to ``max_bits + 1``; -1 leaves a segment out.
+
+    The short segment must agree, the others share the rest.
+    """
+    first = max((max_bits - 1) // 2, -1)
+    return first, max(max_bits - 2 - first, -1), 0
 
 
 def _pieces(data: bytes, size: int) -> Iterator[list[bytes]]:
@@ -312,3 +315,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns: of each component those of its smallest key.
+
+    Repeated rows of that key stay as they are; rows with a null key go unless
+    their component has no other.
+    """
+    found = near_duplicates(docs, key, text, width, max_bits)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_key")).distinct()
+    return docs.join(first, docs[key].eqNullSafe(F.col("__kept_key")), "left_semi")
