@@ -5,7 +5,18 @@ from __future__ import annotations
 import importlib
 
 #: One module per operator with ``QUERIES`` and ``ORACLE_SQL``.
-MODULES = ("q08_mixing", "q10_sharding")
+MODULES = (
+    "q01_packing",
+    "q02_toxicity",
+    "q03_media",
+    "q04_simhash",
+    "q05_html",
+    "q06_licenses",
+    "q07_warc",
+    "q08_mixing",
+    "q09_exact",
+    "q10_sharding",
+)
 
 
 def _modules():
