@@ -1 +1 @@
-"""functions package."""
+"""Filter operators, order keys and cursors as columns."""

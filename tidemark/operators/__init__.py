@@ -1 +1 @@
-"""operators package."""
+"""Writes, changesets and merges, results as entities, and schema evolution."""

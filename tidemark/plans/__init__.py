@@ -1 +1 @@
-"""plans package."""
+"""Queries as immutable values, their preparation, and their DataFrame plans."""

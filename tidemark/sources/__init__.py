@@ -1 +1 @@
-"""sources package."""
+"""Collections from Parquet folders, DataFrames in memory, and snapshots."""
