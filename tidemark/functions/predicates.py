@@ -139,7 +139,14 @@ def json_literal(v: Any) -> Column:
 
 
 def json_predicate(op: str, v_at: Column, v: Any) -> Column:
-    """``value op v`` for a JSON value; only values of the literal's type are equal to it."""
+    """``value op v`` for a JSON value; only values of the literal's type are equal to it.
+
+    The value is bound once, so its text is parsed once however often the rules read it.
+    """
+    return F.exists(F.array(v_at), lambda x: _json_rule(op, x, v))
+
+
+def _json_rule(op: str, v_at: Column, v: Any) -> Column:
     key = json_key(v_at)
     if op == "isDefined":
         return key.isNotNull() if v else key.isNull()

@@ -99,7 +99,9 @@ def merge_changes(*parts: DataFrame, id_column: str = "id") -> DataFrame:
             aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col("__counts") & F.array_contains(FIELDS, c), order)).alias(f"__new_{c}"))
     folded = marked.groupBy(id_column).agg(*aggs)
     op = F.when(~F.col("__alive"), "delete").when(F.col("__inserted") | F.col("__gone"), "insert").otherwise("update")
-    return folded.select(SEQ, op.alias(OP), FIELDS, *[F.col(c) if c == id_column else F.col(f"__new_{c}")["v"].alias(c) for c in columns])
+    back = F.col("__gone") & F.col("__alive")  # nothing of what it was before the delete may show through
+    fields = F.when(back, F.array(*[F.lit(c) for c in columns])).otherwise(F.col(FIELDS))
+    return folded.select(SEQ, op.alias(OP), fields.alias(FIELDS), *[F.col(c) if c == id_column else F.col(f"__new_{c}")["v"].alias(c) for c in columns])
 
 
 def diff(before: DataFrame, after: DataFrame, id_column: str = "id") -> DataFrame:
