@@ -27,14 +27,13 @@ PARAGRAPHS = frozenset("p pre blockquote li td dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words in a class, an id or a role that mark what isn't the article.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|aside|widget|related|recommended|footer|foot|copyright|masthead|header|"
-    r"comments?|disqus|replies|reply|respond|login|signup|search|skip|toolbar|tags|complementary|contentinfo)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|sponsor(?:ed|s)?|promos?|banners?|cookies?|cookiebar|consent|notices?|alerts?|popups?|modal|newsletter|subscribe|"
+    r"share|sharing|social|nav|navbar|navigation|sidenav|menus?|breadcrumbs?|pagination|pager|sidebars?|side|aside|widgets?|related|recommended|footer|foot|copyright|masthead|topbar|header|"
+    r"comments?|commentlist|disqus|replies|reply|respond|login|signup|search|skip|toolbar|tags|complementary|contentinfo|forms?)(?:$|[\s_-]|\d)",
     re.I,
 )
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-]|\d)", re.I)
-#: Characters that HTML counts as white space, and the no-break space.
-SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+SPACE = re.compile(r"\s+")
 #: A tag or comment that the page's end cuts off.
 CUT = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 #: Ancestors that a paragraph passes points to.
@@ -198,7 +197,7 @@ def blocks(node: Node) -> list[str]:
     out, run = [], []
 
     def flush():
-        if text := SPACE.sub(" ", "".join(run)).strip(" "):
+        if text := SPACE.sub(" ", "".join(run)).strip():
             out.append(text)
         run.clear()
 
