@@ -10,7 +10,10 @@ from tidemark import schema as S
 from tidemark.db import Database
 from tidemark.operators import changes as C
 from tidemark.operators import evolve, writes
-from tidemark.plans.ast import Q, exists
+from tidemark.operators.clock import HybridClock, stamp_column
+from tidemark.plans.ast import Q, exists, identity
+from tidemark.plans.compile import Compiler
+from tidemark.plans.prepare import with_evidence
 from tidemark.sources import catalog as K
 from tidemark.streaming import live
 
@@ -181,6 +184,46 @@ def test_write_permissions(spark, shop):
             bad()
 
 
+def test_previous_state_in_rules(spark, shop):
+    rules = {"user": {"update": (True,), "postUpdate": (("n", ">", "$prev.n"),)}}
+    db = Database(shop.catalog, S.Schema.of(S.Collection("items", permissions=rules), S.Collection("groups"), roles={"user": {"g": "$g"}})).with_session({"g": "a"})
+    assert db.update("items", spark.createDataFrame([("i3", 4)], "id string, n int")).with_session(None, skip_rules=True).fetch_by_id("items", "i3")["n"] == 4
+    with pytest.raises(errors.WritePermissionError):
+        db.update("items", spark.createDataFrame([("i3", 2)], "id string, n int"))
+
+
+def test_subscriptions(spark, shop):
+    heard = {"items": [], "groups": []}
+    subs = live.Subscriptions(shop)
+    end = subs.subscribe(Q("items").where("g", "=", "a").order("n", "ASC"), lambda df: heard["items"].append([r["id"] for r in df.collect()]))
+    subs.subscribe(Q("groups"), lambda df: heard["groups"].append(df.count()))
+    subs.buffer({"items": spark.createDataFrame([(1, "insert", ["id", "g", "n"], "z", "a", 1)], SCHEMA)})
+    subs.buffer({"items": spark.createDataFrame([(1, "insert", ["id", "g", "n"], "y", "b", 1)], SCHEMA)})
+    assert len(heard["items"]) == 1
+    subs.update()
+    assert heard["items"] == [["i0", "i2", "i4", "i6"], ["i0", "z", "i2", "i4", "i6"]] and heard["groups"] == [3]
+    end()
+    subs.buffer({"items": spark.createDataFrame([(1, "delete", [], "z", None, None)], SCHEMA)})
+    subs.update()
+    assert len(heard["items"]) == 2 and subs.db.fetch_by_id("items", "z") is None and subs.db.clear().fetch(Q("items")).count() == 0
+
+
+def test_clock_and_identity(spark, shop):
+    times = iter([5, 5, 3, 9])
+    clock = HybridClock("c", now=lambda: next(times))
+    got = [clock.next(), clock.next(), clock.next()]
+    clock.observe((20, 0, "other"))
+    got.append(clock.next())
+    assert got == sorted(got) == [(5, 0, "c"), (5, 1, "c"), (5, 2, "c"), (20, 1, "c")]
+    assert spark.range(1).select(stamp_column(got[0]) < stamp_column(got[1])).first()[0]
+    a, b = ("x", "=", 1), ("y", "=", 2)
+    assert identity(Q("t").where(a).where(b).select("p", "q")) == identity(Q("t").where(b).where(a).select("q", "p")) != identity(Q("t").where(a).select("q", "p"))
+    assert identity(Q("t").order("x", "ASC")) != identity(Q("t").order("x", "DESC"))
+    q = with_evidence(shop.prepared(Q("groups").where(exists("items", ("n", ">", 5)))))
+    rows_ = Compiler(shop.catalog.frame, shop.context()).compile(q).collect()
+    assert {r["id"]: [x["id"] for x in r["_exists_0"]] for r in rows_} == {"a": ["i6"], "b": ["i7"]}
+
+
 def test_evolution(shop):
     items, groups = shop.schema.collections["items"], shop.schema.collections["groups"]
     change = lambda **attrs: S.Schema.of(S.Collection("items", {**items.attrs, **attrs}), groups)

@@ -61,3 +61,35 @@ class Database:
 
     def stats(self) -> DataFrame:
         return collection_stats(self.catalog)
+
+    # Writes give the database after them; the modules of the operators build on this one.
+
+    def transact(self, write) -> Database:
+        """``write`` gets a transaction and gives the one to commit; an error leaves everything as it was."""
+        from .operators.writes import Transaction
+
+        return write(Transaction.begin(self)).commit()
+
+    def insert(self, collection: str, rows: DataFrame) -> Database:
+        return self.transact(lambda tx: tx.insert(collection, rows))
+
+    def update(self, collection: str, rows: DataFrame) -> Database:
+        return self.transact(lambda tx: tx.update(collection, rows))
+
+    def delete(self, collection: str, ids: DataFrame) -> Database:
+        return self.transact(lambda tx: tx.delete(collection, ids))
+
+    def apply_changes(self, changes: dict[str, DataFrame]) -> Database:
+        """Changesets of a trusted source, without rules and validation."""
+        from .operators.changes import overlay
+
+        id_of = self.context().id_of
+        return self.with_collections(**{n: overlay(self.catalog.frame(n), part, id_of(n)) for n, part in changes.items()})
+
+    def clear(self) -> Database:
+        return self.with_collections(**{n: self.catalog.frame(n).where("false") for n in self.catalog.names})
+
+    def override_schema(self, schema: Schema, fail_on_incompatible: bool = True):
+        from .operators.evolve import override_schema
+
+        return override_schema(self, schema, fail_on_incompatible)

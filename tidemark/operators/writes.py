@@ -90,19 +90,24 @@ def violations(rows: DataFrame, attrs: dict[str, Attr], id_column: str) -> DataF
     return rows.select(F.col(id_column).alias("id"), F.explode(found).alias("v")).select("id", "v.attribute", "v.issue")
 
 
-def forbidden(db: Database, collection: str, operation: str, rows: DataFrame) -> DataFrame:
+def forbidden(db: Database, collection: str, operation: str, rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Rows of a write that no role of the session allows; ``rows`` are tried in the place of the collection.
 
-    Other collections are read as ``db`` has them, which is the state after the write.
+    Other collections are read as ``db`` has them, which is the state after the
+    write. ``before`` has the entities that ``$prev`` reads.
     """
     ctx = db.context()
     query = Query(collection, filters=permission_filter(collection, operation, ctx))
     if not query.filters:
         return rows.where("false")
-    own = replace(ctx, skip_rules=True)
-    compiler = Compiler(db.catalog.frame, own)
-    frame = compiler.filtered(scan(collection, rows), query)
-    id_column = ctx.id_of(collection)
+    own, id_column = replace(ctx, skip_rules=True), ctx.id_of(collection)
+    frame = scan(collection, rows)
+    if before is not None:
+        held = {c: f"__prev_{c}" for c in before.columns}
+        prev = before.select([F.col(c).alias(n) for c, n in held.items()])
+        frame.df = frame.df.join(prev, frame.column(id_column, own) == F.col(held[id_column]), "left")
+        frame.ancestors = [held]
+    frame = Compiler(db.catalog.frame, own).filtered(frame, query)
     allowed = frame.df.select(frame.column(id_column, own).alias(id_column))
     return rows.join(allowed, id_column, "left_anti")
 
@@ -133,7 +138,8 @@ class Transaction:
         steps = [operation, "postUpdate"] if operation == "update" and self._has_rule(collection, "postUpdate") else [operation]
         for step in steps:
             rows = before.join(ids, id_column, "left_semi") if step == "update" else touched
-            if not forbidden(db, collection, step, rows).isEmpty():
+            prev = before.join(ids, id_column, "left_semi") if step == "postUpdate" else None
+            if not forbidden(db, collection, step, rows, prev).isEmpty():
                 raise errors.WritePermissionError(f"{step} in {collection!r} isn't permitted")
         return replace(self, db=db, changes=(*self.changes, (collection, changes)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
@@ -310,3 +311,23 @@ def _any(filters: tuple):
     if not out:
         return False
     return out[0] if len(out) == 1 else Group("or", tuple(out))
+
+
+def _shape(x: Any) -> str:
+    if isinstance(x, Query):
+        parts = (x.collection, sorted(x.selected) if x.selected is not None else None, sorted(map(_shape, x.filters)), x.ordering, x.limit, x.cursor, sorted(map(repr, x.variables)), sorted((a, _shape(i)) for a, i in x.includes))
+        return repr(parts)
+    if isinstance(x, Group):
+        return f"{x.mode}{sorted(map(_shape, x.filters))}"
+    if isinstance(x, Exists):
+        return f"exists{_shape(x.query)}"
+    if isinstance(x, RelationExists):
+        return f"exists {x.path}{sorted(map(_shape, x.where))}"
+    if isinstance(x, Include):
+        return f"{x.relation} {x.cardinality} {_shape(x.query) if x.query is not None else None}"
+    return repr(x)
+
+
+def identity(query: Query) -> str:
+    """A digest that is equal for queries that differ in the order of filters, selected paths and includes only."""
+    return hashlib.sha256(_shape(query).encode()).hexdigest()

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import errors
 from ..schema import OPERATORS, Relationship, Schema, match_role
-from .ast import Cond, Exists, Filter, Group, Include, Query, RelationExists, Var, flat_filters, merged, normalize, shifted, simplified
+from .ast import Cond, Exists, Filter, Group, Include, Query, RelationExists, Var, flat_filters, map_conditions, merged, normalize, shifted, simplified
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def _permitted(name: str, ctx: Context, operation: str = "read") -> tuple[Filter
         given = declared.permissions.get(role, {}).get(operation)
         if given:
             own = replace(ctx, inside=(*ctx.inside, name), variables={**ctx.variables, "role": captured})
-            ways.append(Group("and", tuple(_filter(name, f, own) for f in normalize(given))))
+            ways.append(Group("and", tuple(_filter(name, f, own) for f in map_conditions(normalize(given), _prev_as_parent))))
     return (Group("or", tuple(ways)),) if ways else (False,)
 
 
@@ -119,6 +119,20 @@ def permission_filter(name: str, operation: str, ctx: Context) -> tuple[Filter,
     return simplified(_permitted(name, ctx, operation))
 
 
+def _prev_as_parent(c: Cond, level: int) -> Cond:
+    """``$prev.x`` reads the entity before the write, which stands where a parent would."""
+    if isinstance(c.value, Var) and c.value.scope == "prev":
+        return replace(c, value=Var(level + 1, c.value.path))
+    return c
+
+
+def with_evidence(query: Query) -> Query:
+    """A prepared query with the rows that its exists filters rest on as includes ``_exists_0`` and so on."""
+    found = [f for f in flat_filters(query.filters) if isinstance(f, Exists)]
+    extra = tuple((f"_exists_{n}", Include(None, with_evidence(f.query), "many")) for n, f in enumerate(found))
+    return replace(query, includes=query.includes + extra)
+
+
 def _filter(name: str, f: Filter, ctx: Context) -> Filter:
     if isinstance(f, bool):
         return f

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..db import Database
 from ..operators import changes as C
-from ..plans.ast import Cond, Exists, Group, Query, Var, flat_filters
+from ..plans.ast import Cond, Exists, Group, Query, Var, flat_filters, identity
 from ..plans.compile import Compiler
 from ..plans.prepare import HIDDEN, collections_of
 
@@ -131,6 +131,52 @@ class View:
         return whole
 
 
+class Subscriptions:
+    """Live queries over one database.
+
+    Changes are buffered until :meth:`update`; queries that read none of the
+    changed collections aren't touched, equal queries share one view, and
+    callbacks hear of results that differ only.
+    """
+
+    def __init__(self, db: Database):
+        self.db = db
+        self._views: dict[str, View] = {}
+        self._callbacks: dict[str, list[Callable[[DataFrame], None]]] = {}
+        self._buffer: list[dict[str, DataFrame]] = []
+
+    def subscribe(self, query: Query, callback: Callable[[DataFrame], None]) -> Callable[[], None]:
+        """Call back with the result now and after each change of it; gives the function that ends this."""
+        key = identity(query)
+        if key not in self._views:
+            self._views[key] = View.open(self.db, query)
+        self._callbacks.setdefault(key, []).append(callback)
+        callback(self._views[key].result())
+
+        def end() -> None:
+            self._callbacks[key].remove(callback)
+            if not self._callbacks[key]:
+                del self._callbacks[key], self._views[key]
+
+        return end
+
+    def buffer(self, changes: dict[str, DataFrame]) -> None:
+        self._buffer.append(changes)
+
+    def update(self) -> None:
+        """Apply what was buffered, in its order, and tell subscribers."""
+        buffered, self._buffer = self._buffer, []
+        for changes in buffered:
+            self.db = self.db.apply_changes(changes)
+            for key, view in self._views.items():
+                new = view.apply(changes)
+                hit = touched(view.db, view.query, set(changes))
+                self._views[key] = new
+                if hit and not C.diff(view.rows, new.rows, self.db.context().id_of(view.query.collection)).isEmpty():
+                    for callback in list(self._callbacks[key]):
+                        callback(new.result())
+
+
 def live_query(
     db: Database, query: Query, collection: str, changes: DataFrame, folder: str, callback: Callable[[DataFrame, DataFrame], None] | None = None, **options
 ):
