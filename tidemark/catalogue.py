@@ -66,11 +66,11 @@ def schema(**permissions) -> S.Schema:
             relationships={"customer": S.by_id("customers", "$o_custkey", "c_custkey"), "lines": S.many("lines", ("l_orderkey", "=", "$id"))},
             permissions=given.get("orders"),
         ),
-        S.Collection("lines", id="l_orderkey", relationships={"order": S.by_id("orders", "$l_orderkey", "o_orderkey"), "part": S.by_id("parts", "$l_partkey", "p_partkey")}),
+        S.Collection("lines", id="l_orderkey", relationships={"order": S.by_id("orders", "$l_orderkey", "o_orderkey"), "part": S.by_id("parts", "$l_partkey", "p_partkey")}, keyed=False),
         S.Collection("parts", id="p_partkey", relationships={"lines": S.many("lines", ("l_partkey", "=", "$id"))}),
         S.Collection("suppliers", id="s_suppkey", relationships={"nation": S.by_id("nations", "$s_nationkey", "n_nationkey")}),
         S.Collection("events", {"props": S.json()}, id="event_id"),
-        S.Collection("turns", id="turn"),
+        S.Collection("turns", id="turn", keyed=False),
         S.Collection("chats", id="conv_id", relationships={"turns": S.many("turns", ("conv_id", "=", "$id"))}),
         S.Collection("vectors", id="vec_id"),
         S.Collection("graded", id="doc_id"),

@@ -248,22 +248,54 @@ class Compiler:
 
     # -- includes --------------------------------------------------------
 
-    def _include(self, frame: Frame, alias: str, item: Include) -> Frame:
-        """The frame with a column for a nested result."""
+    def _by_own_keys(self, query: Query) -> tuple[list[str], list[str], Frame] | None:
+        """For subqueries that only ask for equal values: the parent's paths, and the child with columns of these values.
+
+        The child is then gathered by its own columns, in one shuffle, and
+        without reading the parent for it.
+        """
+        pairs = self._conditions(query)
+        rest = replace(query, filters=tuple(f for f in query.filters if f not in pairs))
+        if not pairs or levels_used(rest) or any(c.op != "=" or self.ctx.kind(query.collection, c.path)[0] in ("set", "json", "record") for c in pairs):
+            return None
+        child = self.filtered(self._child(query), rest)
+        names = [_fresh("key") for _ in pairs]
+        child.df = child.df.withColumns({n: child.column(c.path, self.ctx) for n, c in zip(names, pairs, strict=True)})
+        return [c.value.path for c in pairs], names, child
+
+    def _finds_by_id(self, query: Query) -> bool:
+        """Whether a subquery asks for an id, of which a collection has one row."""
+        id_column = self.ctx.id_of(query.collection)
+        wanted = {id_column} if "id" in self.ctx.types(query.collection).names else {id_column, "id"}
+        return query.limit != 0 and query.cursor is None and any(c.op == "=" and c.path in wanted for c in self._conditions(query)) and self.ctx.is_keyed(query.collection)
+
+    def _include(self, frame: Frame, alias: str, item: Include, few: bool = False) -> Frame:
+        """The frame with a column for a nested result. ``few``: the frame is limited, so its values prune the child."""
         query, out = item.query, _fresh(alias)
-        keys, child, _ = self._matched(frame, query, keyed=True)
-        names = list(keys.values())
+        direct = None if few else self._by_own_keys(query)
+        if direct is not None and not any(isinstance(t, T.ArrayType) for t in (self.ctx.kind(frame.collection, p)[1] for p in direct[0])):
+            paths, names, child = direct
+            keys = {(1, p): n for p, n in zip(paths, names, strict=True)} if len(set(paths)) == len(paths) else None
+        else:
+            keys = None
+        if keys is None:
+            keys, child, _ = self._matched(frame, query, keyed=True)
+            names = list(keys.values())
         hidden = [(a, i) for a, i in query.includes if a.startswith(HIDDEN)]
         for a, i in hidden:
             child = self._include(child, a, i)
         if query.cursor is not None:
             child.df = child.df.where(P.after_predicate(self._order_columns(child, query), *query.cursor))
         limit = 1 if item.cardinality == "one" else query.limit
+        by_id = self._finds_by_id(query)
+        if by_id:
+            limit = None  # a row at most without ranking
         if limit is not None and not names:  # one result for all parents
             child.df = child.df.orderBy(*self._sort_keys(child, query)).limit(limit)
         rank = _fresh("rank")
         partition = Window.partitionBy(*[F.col(n) for n in names]) if names else Window.partitionBy(F.lit(0))
-        child.df = child.df.withColumn(rank, F.row_number().over(partition.orderBy(*self._sort_keys(child, query))))
+        place = F.lit(1) if by_id else F.row_number().over(partition.orderBy(*self._sort_keys(child, query)))
+        child.df = child.df.withColumn(rank, place)
         if limit is not None:
             child.df = child.df.where(F.col(rank) <= limit)
         for a, i in query.includes:
@@ -276,7 +308,8 @@ class Compiler:
             packed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), row.alias("row"))))
             gathered = child.df.groupBy(*names).agg(F.transform(packed, lambda x: x["row"]).alias(out))
         if names:
-            on = P.all_of([c.eqNullSafe(F.col(n)) for c, n in zip(self._sources(frame, keys), names, strict=True)])
+            sources = self._sources(frame, keys)
+            on = P.all_of([c == F.col(n) if by_id and len(names) == 1 else c.eqNullSafe(F.col(n)) for c, n in zip(sources, names, strict=True)])
             joined = frame.df.join(gathered, on, "left").drop(*names)
         else:  # the same for all parents: a row at most, or the total of all rows
             joined = frame.df.join(gathered, F.lit(True), "left")
@@ -316,7 +349,7 @@ class Compiler:
             frame.df = frame.df.orderBy(*self._sort_keys(frame, query)).limit(query.limit)
         for alias, item in query.includes:
             if not alias.startswith(HIDDEN):
-                frame = self._include(frame, alias, item)
+                frame = self._include(frame, alias, item, few=query.limit is not None)
         return frame
 
     def compile(self, query: Query) -> DataFrame:

@@ -28,6 +28,11 @@ class Context:
         found = self.schema.collections.get(collection)
         return found.id if found else "id"
 
+    def is_keyed(self, collection: str) -> bool:
+        """Whether ids are unique, as they are unless a collection is declared to hold loose rows."""
+        found = self.schema.collections.get(collection)
+        return found is not None and found.keyed
+
     def relationship(self, collection: str, name: str) -> Relationship | None:
         return self.schema.relationship(collection, name)
 

@@ -113,6 +113,8 @@ class Collection:
     id: str = "id"
     relationships: dict[str, Relationship] = field(default_factory=dict)
     permissions: dict[str, dict[str, tuple]] | None = None
+    #: Whether the id column is unique; False for tables of rows without a key.
+    keyed: bool = True
 
     def with_permissions(self, permissions) -> Collection:
         return replace(self, permissions=permissions)
