@@ -155,10 +155,15 @@ def anchors(fps: np.ndarray, segment: int, threshold: int) -> tuple[np.ndarray,
     word = (fps >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
     if bits != CODE_BITS:
         return np.arange(len(fps)), word, np.ones(len(fps), dtype=bool)
+    return golay_anchors(word, threshold)
+
+
+def golay_anchors(word: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for words of the code's length."""
     offsets, patterns, weights = _cosets(COVERING_RADIUS + (threshold + 1) // 2)
     own = syndrome(word)
     first, count = offsets[own], offsets[own + 1] - offsets[own]
-    index = np.repeat(np.arange(len(fps)), count)
+    index = np.repeat(np.arange(len(word)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
     anchor = (word[index] ^ patterns[at]) >> (CODE_BITS - CODE_DIMENSION)
     return index, anchor, weights[at] <= COVERING_RADIUS + threshold // 2
