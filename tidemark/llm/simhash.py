@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components.connected_components(links(classes, max_bits)).select(F.col("node").alias("fp"), "root")
     placed = common.materialize(classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that Spark may split a large component's rows in the join
+    named = common.materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     named = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 

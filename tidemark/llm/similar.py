@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = common.materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "long-classes")
     roots = components.connected_components(links(classes, max_bits)).select(F.col("node").alias("id"), "root")
     placed = common.materialize(classes.select("id", "first").join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")), "long-rooted")
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that Spark may split a large component's rows in the join
+    named = common.materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "long-components")
     named = placed.select("id", "root").join(named, "root").select("id", "component_id")
     return rows.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
 
