@@ -24,6 +24,21 @@ def test_fingerprint_in_pieces():
     assert not similar.long_fingerprint(None).any()
 
 
+def test_repeated_shingles_count_once():
+    rng = random.Random(6)
+    line = " ".join(f"j{i}" for i in range(12))
+    texts = [" ".join([f"w{rng.randint(0, 10**6)}" for _ in range(104)] + [line] * 20) for _ in range(2)]
+    a, b = (similar.long_fingerprint(t.encode()) for t in texts)
+    assert np.bitwise_count(a ^ b).sum() > 80  # they share 12 of about 230 shingles
+    once, often = "a b c d e f g", "a b c d e f g " * 3
+    rest = " h i j k l m a b c d e"
+    for piece in (16, 1 << 22):
+        assert similar.long_fingerprint((once + rest).encode(), piece=piece).any()
+        words = (often + rest).split()
+        want = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode()) for i in range(len(words) - 4)})
+        assert similar.shingle_set((often + rest).encode(), piece=piece).tolist() == want
+
+
 def near(rng, fp, bits):
     out = fp.copy()
     for b in rng.choice(64 * similar.LANES, bits, replace=False):

@@ -50,15 +50,10 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
     return (values @ np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)).reshape(64)
 
 
-def long_fingerprint(text: bytes | None, width: int = WIDTH, lanes: int = LANES, piece: int = simhash.PIECE) -> np.ndarray:
-    """``lanes`` words of 64 bits; a bit is set if over half of the shingles have it. No words: zeros."""
-    sums, total, tail = np.zeros((lanes, 64), dtype=np.int64), 0, []
+def shingle_set(text: bytes | None, width: int = WIDTH, piece: int = simhash.PIECE) -> np.ndarray:
+    """The distinct hashes of a whole text's shingles, ascending; fewer words than ``width`` are one shingle, no words none."""
+    found, tail = np.zeros(0, dtype=np.uint64), []
     hashed = xxhash.xxh64_intdigest
-
-    def add(hashes):
-        for lane in range(lanes):
-            sums[lane] += _bit_sums(_mixed(hashes, lane))
-
     for words in simhash._pieces((text or b"").lower(), piece):
         words = tail + words
         if len(words) < width:
@@ -68,14 +63,22 @@ def long_fingerprint(text: bytes | None, width: int = WIDTH, lanes: int = LANES,
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
         hashes = np.array([hashed(joined[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64)
-        add(hashes)
-        total += len(hashes)
+        found = np.unique(np.concatenate((found, hashes)))
         tail = words[len(words) - width + 1 :]
-    if not total and tail:
-        add(np.array([hashed(b" ".join(tail))], dtype=np.uint64))
-        total = 1
-    bits = (2 * sums > total).astype(np.uint8) if total else sums.astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(lanes)
+    if not len(found) and tail:
+        found = np.array([hashed(b" ".join(tail))], dtype=np.uint64)
+    return found
+
+
+def set_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """``lanes`` words of 64 bits; a bit is set if over half of the set's shingles have it. No shingles: zeros."""
+    sums = np.stack([_bit_sums(_mixed(hashes, lane)) for lane in range(lanes)])
+    return np.packbits(2 * sums > len(hashes), axis=1, bitorder="little").view("<u8").reshape(lanes)
+
+
+def long_fingerprint(text: bytes | None, width: int = WIDTH, lanes: int = LANES, piece: int = simhash.PIECE) -> np.ndarray:
+    """The fingerprint of a text's set of shingles: each counts once, however often it comes."""
+    return set_fingerprint(shingle_set(text, width, piece), lanes)
 
 
 def segment_bits(segment: int) -> np.ndarray:
