@@ -100,6 +100,53 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(originals) <= kept and len(kept) <= 32
 
 
+def test_links_at_a_similarity_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 300))]
+        rows.append((len(rows), " ".join(words)))
+        for c in range(12):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) * c // 250)):
+                copy[at] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [set(similar.shingle_set(t.encode()).tolist()) for _, t in rows]
+    parent, kinds = list(range(len(rows))), [0, 0]
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            like = len(x & y) / len(x | y)
+            kinds[0] += like >= 0.8
+            kinds[1] += 0.6 < like < 0.8
+            if 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert min(kinds) > 100
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_forest_is_of_candidates_and_spans():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (3, similar.LANES), dtype=np.uint64)
+    fps = np.stack([near(rng, base[k % 3], int(rng.integers(0, 50))) for k in range(150)])
+    items = np.column_stack((np.arange(150, dtype=np.uint64), fps, np.zeros(150, dtype=np.uint64), np.arange(150, dtype=np.uint64)))
+    for some in (items[:30], items):
+        a, b = similar.forest(some, some, 64)
+        assert (np.bitwise_count(fps[a.astype(int)] ^ fps[b.astype(int)]).sum(axis=1) <= 64).all()
+        label = np.arange(150)
+        assert len(similar.shortest_forest(label, a.astype(int), b.astype(int), np.zeros(len(a)))) == len(a)  # no cycles
+        for i in range(len(some)):
+            for j in range(i):
+                assert np.bitwise_count(fps[i] ^ fps[j]).sum() > 64 or label[i] == label[j]
+
+
 def test_awkward_rows(spark):
     df = awkward_docs(spark)
     got = similar.near_duplicates(df).collect()

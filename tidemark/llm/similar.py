@@ -1,16 +1,20 @@
-"""Operator 4 at a Jaccard similarity: long SimHash fingerprints over anchors.
+"""Operator 4 at a Jaccard similarity: long SimHash fingerprints over anchors, links verified by the sets.
 
 Texts whose sets of five-word shingles are similar to 0.8 differ in about 15 %
 of their SimHash bits, too many for the few bits that 64-bit fingerprints are
-linked at. So fingerprints of 256 bits are taken, and 16 segments of 23 of their
+linked at. So fingerprints of 256 bits are taken, and 22 segments of 23 of their
 bits; two fingerprints are compared, in all bits, where they meet at an anchor of
 the Golay code in some segment: one of them at its home anchor, the other within
-the covering radius plus one. They are linked up to ``MAX_BITS`` different bits.
+the covering radius plus one. Up to ``MAX_BITS`` different bits they are a
+candidate, and a candidate is linked if the sets of the whole texts are similar.
 
-The similarity is that of an estimate: on the test tables nine in ten pairs from
-0.8 on are linked, nearly all from 0.85 on, and a third of those at 0.7 to 0.75;
-unrelated texts differ in 128 +- 8 bits and are never linked. Per anchor only a
-spanning forest of the links leaves the task.
+Candidates come twice. First each anchor gives a spanning forest of its
+candidates, of few different bits before more; most of what is similar is linked
+by that, so a group of n near copies gives about n candidates. Then all
+candidates between texts that are still in different components are tried.
+
+By simulation of random bits about one pair in ten thousand at a similarity of
+just 0.8 isn't a candidate, and fewer above.
 """
 
 from __future__ import annotations
@@ -25,12 +29,15 @@ from . import common, components, simhash
 
 WIDTH = 5
 LANES = 4
-SEGMENTS = 16
-#: Fingerprints of texts with a similarity of 0.8 differ in 39 +- 6 bits, of 0.7 in 49 +- 6.
-MAX_BITS = 44
+SEGMENTS = 22
+#: Least Jaccard similarity of a link, as a fraction.
+SIMILAR = (4, 5)
+#: Different bits of a candidate. Texts with a similarity of 0.8 differ in 39 +- 6 bits.
+MAX_BITS = 64
 THRESHOLD = 1
-#: An item: the number of a fingerprint and its lanes.
-ITEM = 1 + LANES
+#: An item: the number of a fingerprint, its lanes, how many shingles it is of, and its component.
+ITEM = 1 + LANES + 2
+SIZE, ROOT = 1 + LANES, 2 + LANES
 #: Entries of one anchor that a task compares; anchors with more are cut into blocks.
 BLOCK = 1 << 15
 
@@ -96,24 +103,59 @@ def segment_word(fps: np.ndarray, segment: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``doc_id, fp``: the long fingerprint of every whole text, as binary."""
+    """``doc_id, id, fp, n``: of every whole text the number and the size of its set of shingles, and the long fingerprint as binary."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for keys, texts in common.small_parts(batch, 1):
-                yield pa.RecordBatch.from_arrays([keys, pa.array([long_fingerprint(t, width).tobytes() for t in texts], pa.binary())], ["doc_id", "fp"])
+                ids, fps, sizes = [], [], []
+                for t in texts:
+                    hashes = shingle_set(t, width)
+                    ids.append(_number(hashes))
+                    fps.append(set_fingerprint(hashes).tobytes())
+                    sizes.append(len(hashes))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "id", "fp", "n"])
+
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, id long, fp binary, n long")
+
+
+def _number(hashes: np.ndarray) -> int:
+    """A set's number: the signed hash of its members."""
+    found = xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes())
+    return found - (1 << 64) if found >> 63 else found
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary")
+
+def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``id, shingles``: the number and the set of every text in the only column."""
+
+    def run(batches):
+        for batch in batches:
+            for (some,) in common.small_parts(batch, 0):
+                sets = [shingle_set(t, width) for t in some]
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(map(_number, sets), pa.int64()), held], ["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar: as large a part of their union is common to both."""
+    part, whole = similar
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    common_ = F.size(F.array_intersect("of_a", "of_b")).cast("long")
+    both = F.size("of_a").cast("long") + F.size("of_b")
+    return pairs.join(left, "a").join(right, "b").where(common_ * whole >= (both - common_) * part).select("a", "b")
 
 
 def _items(batches):
-    """Arrays of items from batches of (number, fingerprint)."""
+    """Arrays of items from batches of (number, fingerprint, size, component)."""
     held, n = [], 0
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        ids, sizes, roots = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 2, 3))
         fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, LANES)
-        held.append(np.column_stack((ids, fps)))
+        held.append(np.column_stack((ids, fps, sizes, roots)))
         n += len(ids)
         if n >= 20_000:
             yield np.concatenate(held)
@@ -122,26 +164,71 @@ def _items(batches):
         yield np.concatenate(held)
 
 
-def forest(near: np.ndarray, far: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between near and far items: (number, its root's)."""
-    _, first = np.unique(np.concatenate((near[:, 0], far[:, 0])), return_index=True)
-    nodes = np.concatenate((near, far))[first]
-    rows, cols = np.searchsorted(nodes[:, 0], near[:, 0]), np.searchsorted(nodes[:, 0], far[:, 0])
-    parent = np.arange(len(nodes))
+def candidates(near: np.ndarray, far: np.ndarray, max_bits: int, similar: tuple[int, int] = SIMILAR):
+    """Places of near and far items within ``max_bits``, and their bits: parts of all pairs.
+
+    Left out are pairs of one component and those whose sizes alone rule the similarity out.
+    """
+    part, whole = np.uint64(similar[0]), np.uint64(similar[1])
     for i in range(0, len(near), 64):
         for j in range(0, len(far), 4096):
-            apart = np.zeros((len(near[i : i + 64]), len(far[j : j + 4096])), dtype=np.uint16)
-            for lane in range(1, ITEM):
-                apart += np.bitwise_count(near[i : i + 64, None, lane] ^ far[None, j : j + 4096, lane])
+            x, y = near[i : i + 64], far[j : j + 4096]
+            apart = np.zeros((len(x), len(y)), dtype=np.uint16)
+            for lane in range(1, 1 + LANES):
+                apart += np.bitwise_count(x[:, None, lane] ^ y[None, :, lane])
             a, b = np.nonzero(apart <= max_bits)
+            m, n = x[a, SIZE], y[b, SIZE]
+            on = (x[a, ROOT] != y[b, ROOT]) & (np.minimum(m, n) * whole >= np.maximum(m, n) * part)
+            a, b = a[on], b[on]
             if len(a):
-                simhash.join_roots(parent, rows[i + a], cols[j + b])
-    moved = np.flatnonzero(parent != np.arange(len(nodes)))
-    return nodes[moved, 0], nodes[parent[moved], 0]
+                yield i + a, j + b, apart[a, b]
+
+
+def shortest_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the edges of a forest of least bits that joins what the labels don't join yet; labels become those of its trees."""
+    chosen = []
+    order = np.lexsort((b, a, apart))
+    while True:
+        u, v = label[a[order]], label[b[order]]
+        on = u != v
+        order, u, v = order[on], u[on], v[on]
+        if not len(order):
+            return np.array(chosen, dtype=np.int64)
+        # each tree's first edge in the order; these have no cycles but pairs of trees that choose one edge
+        ends, first = np.unique(np.column_stack((u, v)), return_index=True)
+        first //= 2
+        chosen.extend(np.unique(order[first]).tolist())
+        to = np.arange(len(label))
+        to[ends] = u[first] + v[first] - ends
+        each = np.arange(len(label))
+        twice = to[to] == each
+        to[twice] = np.minimum(to, each)[twice]
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        label[:] = to[label]
 
 
-def links(classes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` between the numbers of distinct fingerprints (``id, fp``), a spanning forest per anchor.
+def forest(near: np.ndarray, far: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of candidates that are a spanning forest of all candidates, of few bits before more."""
+    nodes = np.unique(np.concatenate((near[:, 0], far[:, 0])))
+    rows, cols = np.searchsorted(nodes, near[:, 0]), np.searchsorted(nodes, far[:, 0])
+    label, found = np.arange(len(nodes)), [(np.zeros(0, "<u8"), np.zeros(0, "<u8"))]
+    for limit in (max_bits,) if len(near) <= 64 and len(far) <= 4096 else (max_bits // 2, max_bits):
+        for a, b, apart in candidates(near, far, limit):
+            if len(a) > 1:
+                open_ = label[rows[a]] != label[cols[b]]
+                a, b, apart = a[open_], b[open_], apart[open_]
+            at = shortest_forest(label, rows[a], cols[b], apart)
+            if len(at):
+                found.append((near[a[at], 0], far[b[at], 0]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def links(classes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """Candidates ``a, b`` between the numbers of distinct sets (``id, fp``), a spanning forest per anchor or all of them.
+
+    Where ``classes`` has the sets' sizes ``n``, pairs of too different sizes are
+    left out; where it has ``root``, the pairs of one root are.
 
     Anchors with more than ``block`` entries are cut by a hash into blocks, and
     each pair of blocks is compared by itself, so nothing is left out.
@@ -159,7 +246,8 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS
         s, a = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(sums[s, a])], ["segment", "anchor", "n"])
 
-    some = classes.select("id", "fp")
+    size, root = F.col("n") if "n" in classes.columns else F.lit(0), F.col("root") if "root" in classes.columns else F.col("id")
+    some = classes.select("id", "fp", size.cast("long").alias("n"), root.alias("root"))
     hot = {}
     if classes.count() * 5 > block:  # no anchor of fewer can have more than a block
         crowded = some.mapInArrow(count, "segment int, anchor int, n long").groupBy("segment", "anchor").agg(F.sum("n").alias("n"))
@@ -205,21 +293,23 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS
 
         def done():
             n = np.concatenate(near)
-            f = np.concatenate(far)
-            a, b = forest(n, np.concatenate((n, f)) if whole else f, max_bits) if len(n) and (whole or len(f)) else (np.zeros(0, "<u8"), np.zeros(0, "<u8"))
-            return pa.RecordBatch.from_arrays([pa.array(a.astype("<u8").view(np.int64)), pa.array(b.astype("<u8").view(np.int64))], ["a", "b"])
+            f = np.concatenate((n, *far)) if whole else np.concatenate(far)
+            found = ((n[a, 0], f[b, 0]) for a, b, _ in candidates(n, f, max_bits)) if every else [forest(n, f, max_bits)] if len(n) and len(f) else []
+            for a, b in found:
+                a, b = a.astype("<u8").view(np.int64), b.astype("<u8").view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             for s, a, b, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (s, a, b) != key:
                     if key is not None:
-                        yield done()
+                        yield from done()
                     key, near, far = (s, a, b), [], []
                 items = np.frombuffer(raw, dtype="<u8").reshape(-1, ITEM)
                 near.append(items[:n])
                 far.append(items[n:])
         if key is not None:
-            yield done()
+            yield from done()
 
     packed = some.mapInArrow(pack, "segment int, anchor int, block int, near int, items binary")
     dealt = packed.repartition("segment", "anchor", "block").sortWithinPartitions("segment", "anchor", "block")
@@ -229,13 +319,26 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, component_id`` for every row; the component's smallest key is its id.
 
-    Null texts and texts without words have a fingerprint of zeros and are one
-    component. Repeated rows are in one component. A null key is never a
-    component's id unless all its keys are null. Other columns are ignored.
+    Null texts and texts without words have no shingles and are one component.
+    Repeated rows are in one component. A null key is never a component's id
+    unless all its keys are null. Other columns are ignored.
     """
-    rows = common.materialize(fingerprints(docs, key, text, width), "long-fingerprints").withColumn("id", F.xxhash64("fp"))
-    classes = common.materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "long-classes")
-    roots = components.connected_components(links(classes, max_bits)).select(F.col("node").alias("id"), "root")
+    rows = common.materialize(fingerprints(docs, key, text, width), "long-fingerprints")
+    classes = common.materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first")), "long-classes")
+    pairs = common.materialize(links(classes, max_bits), "near-candidates")
+    met = common.materialize(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "near-met")
+    # a key's rows can have several texts: those that weren't met meet no pair
+    keys = met.select(F.col("first").alias("__met_key")).distinct()
+    texts = docs.join(keys, docs[key].eqNullSafe(F.col("__met_key")), "left_semi").select(F.col(text).alias("text"))
+    sets = common.materialize(shingle_sets(texts, width).dropDuplicates(["id"]), "near-sets")
+    sure = common.materialize(verified(pairs, sets), "near-links")
+    roots = components.connected_components(sure)
+    apart = met.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "fp", "n", F.coalesce("root", "id").alias("root"))
+    rest = common.materialize(links(common.materialize(apart, "near-apart"), max_bits, every=True), "near-candidates")
+    more = common.materialize(verified(rest, sets), "near-links")
+    if not more.isEmpty():
+        roots = components.connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = roots.select(F.col("node").alias("id"), "root")
     placed = common.materialize(classes.select("id", "first").join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")), "long-rooted")
     # written, so that Spark may split a large component's rows in the join
     named = common.materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "long-components")
