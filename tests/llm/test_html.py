@@ -28,6 +28,22 @@ def test_case(name):
     assert html.main_text(page) == want
 
 
+EIGHT = f"<p>{LONG}</p>" * 8
+WHOLE = {
+    "closing": (f"<article><section>{EIGHT}</section><section><p>One closing paragraph, short.</p></section></article>", [LONG] * 8 + ["One closing paragraph, short."]),
+    "lead": (f"<article><p>Lead.</p><div class=body>{EIGHT}</div><ul><li>one<li>two</ul><table><tr><td>c</table></article>", ["Lead."] + [LONG] * 8 + ["one", "two", "c"]),
+    "main": (f"<nav>n</nav><main><h1>T</h1><div><section>{EIGHT}</section></div><div><p>End.</p><div class=share>s</div></div></main><footer>f</footer>", ["T"] + [LONG] * 8 + ["End."]),
+    "named": (f"<div id=wrap><div>Welcome.</div><div class=post><div>Lead.</div><div>{EIGHT}</div></div></div>", ["Lead."] + [LONG] * 8),
+    "beside": (f"<div><p>Lead.</p><div>{EIGHT}</div><ul><li>one</ul></div>", ["Lead."] + [LONG] * 8 + ["one"]),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_nested_parts_are_kept(name):
+    page, want = WHOLE[name]
+    assert html.main_text(page).split("\n") == want
+
+
 def test_deep_and_long():
     page = "<article>" + "<div>" * 3000 + f"<p>{LONG}</p>" * 3 + "</article>"
     assert html.main_text(page) == "\n".join([LONG] * 3)

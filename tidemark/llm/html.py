@@ -2,8 +2,8 @@
 
 Paragraphs pass points for their length and commas to their ancestors, which
 keep less of them the farther away they are and the more of their text stands in
-links. The container with most points is the article; siblings that score well
-or are plain prose are kept with it. Menus, adverts, comments and the like are
+links. The container with most points is the article, or the <article> or <main> around
+it, which is kept whole; siblings that score well or are plain prose are kept with it. Menus, adverts, comments and the like are
 taken out of the tree before, by their elements and by words in their names.
 """
 
@@ -24,6 +24,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: These end an open paragraph and are what points come from.
 PARAGRAPHS = frozenset("p pre blockquote li td dd".split())
+#: These are kept beside the best container whatever their length.
+PROSE = frozenset("p pre blockquote ul ol dl table figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words in a class, an id or a role that mark what isn't the article.
 UNWANTED = re.compile(
@@ -172,22 +174,40 @@ def score(root: Node) -> None:
             node.points *= 0.5
 
 
+def _whole(best: Node) -> Node:
+    """The outermost <article> or <main> around the best container, else the parents named as an article that have most of their prose from it."""
+    above, node = [], best
+    while node is not None:
+        above.append(node)
+        node = node.parent
+    marked = [n for n in above if n.name in ("article", "main")]
+    if marked:
+        return marked[-1]
+    for node in above[1:-1]:
+        if not WANTED.search(node.names) or 2 * (best.size - best.links) < node.size - node.links:
+            break
+        best = node
+    return best
+
+
 def kept(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
     score(root)
     best = max(_walk(root), key=lambda n: n.points)
     if not best.points:
         return [root]
-    if best.parent is None:
+    least = max(10.0, 0.2 * best.points)
+    best = _whole(best)
+    if best.parent is None or best.name == "main":
         return [best]
     out = []
     for node in best.parent.children:
         if not isinstance(node, Node) or node.hidden or not node.size:
             continue
         density = node.links / node.size
-        prose = node.name in ("p", "pre", "blockquote") and density < 0.25 and node.size >= 80
+        prose = node.name in PROSE and density < 0.25
         article = node.name == best.name == "article" and density < 0.25
-        if node is best or prose or article or node.points >= max(10.0, 0.2 * best.points) or node.name in HEADINGS and density < 0.25:
+        if node is best or prose or article or node.points >= least or node.name in HEADINGS and density < 0.25:
             out.append(node)
     return out
 
