@@ -44,6 +44,20 @@ def test_nested_parts_are_kept(name):
     assert html.main_text(page).split("\n") == want
 
 
+HEADS = {
+    "body": f"<html><head><meta charset=utf-8><title>no</title><body class=x><article><p>{LONG}</article>",
+    "first tag": f"<head><title>no</title><script>no</script><noscript><img src=x>no</noscript><article><p>{LONG}</article>",
+    "paragraph": f"<head><link href=x><style>no</style><p>{LONG}",
+    "text": f"<head><title>no</title>{LONG}",
+    "closed": f"<head><template><p>no</p></template><title>no</title></head><body><p>{LONG}</p>",
+}
+
+
+@pytest.mark.parametrize("name", HEADS)
+def test_head_without_an_end_tag(name):
+    assert html.main_text(HEADS[name]) == LONG
+
+
 def test_deep_and_long():
     page = "<article>" + "<div>" * 3000 + f"<p>{LONG}</p>" * 3 + "</article>"
     assert html.main_text(page) == "\n".join([LONG] * 3)

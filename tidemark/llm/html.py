@@ -20,6 +20,7 @@ from . import common
 
 # Elements of HTML by what they mean for the text.
 SKIPPED = frozenset("script style noscript template head title nav footer aside form button select textarea iframe object embed svg math canvas audio video dialog menu".split())
+IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: These end an open paragraph and are what points come from.
@@ -58,6 +59,8 @@ class _Tree(HTMLParser):
         self.root = self.at = Node("html")
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._close_head()
         if tag in ("html", "body"):
             return
         if tag in BLOCKS:
@@ -99,6 +102,15 @@ class _Tree(HTMLParser):
             if node.name in stop or node.parent is None:
                 return
 
+    def _close_head(self):
+        """A head ends where something comes that can't stand in it; templates and the like can hold anything."""
+        for node in self._open():
+            if node.name in ("template", "noscript"):
+                return
+            if node.name == "head":
+                self.at = node.parent
+                return
+
     def handle_endtag(self, tag):
         for node in self._open():
             if node.name == tag and node.parent is not None:
@@ -108,6 +120,8 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.at.name == "head" and not data.isspace():
+            self._close_head()
         self.at.children.append(data)
 
 
