@@ -88,6 +88,28 @@ def test_scan_by_brute_force(spark):
     assert want[2][1] == "Apache-2.0" and want[5][1] == "GPL-3.0-only"
 
 
+BSD = """ * Copyright (c) 2020, Some One
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Keep this.
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_wrapped_headers(spark):
+    texts = [(1, "/b/LICENSE", BSD), (2, "/b/x.c", "text"), (3, "/g/y.py", GPL), (4, "/g/z.py", GPL.replace("\n", "\r\n")), (5, "/p/w", "All rights reserved.")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(texts, SCHEMA)).collect()}
+    assert [got[i]["license"] for i in range(1, 6)] == ["BSD-3-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-3.0-or-later", licenses.LAST]
+    assert got[1]["licenses"] == got[2]["licenses"] == ["BSD-3-Clause", licenses.LAST] and got[2]["origin"] == "inherited"
+
+
 def test_repeats_and_empty(spark):
     df = spark.createDataFrame([*rows(), rows()[0], (None, "/a/n", "All rights reserved."), (None, "/a/m", "t")], SCHEMA)
     assert licenses.scan(df).count() == len(rows()) + 3

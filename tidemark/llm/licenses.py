@@ -1,6 +1,7 @@
 """Operator 6: license scans.
 
-Headers (sentences of any file that speak of a license) and license files are
+Headers (lines, sentences over wrapped lines and whole paragraphs of any file
+that speak of a license) and license files are
 compared with templates by the cosine of sparse TF-IDF vectors: terms of
 passages meet those of the templates in a join, and products are summed by
 passage and template. Files without a license of their own inherit that of the
@@ -42,6 +43,11 @@ CUE = r"(?i)licen[cs]|copyright|rights reserved|public domain|redistribut|permis
 #: Names of license files.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)\b"
 SENTENCES = r"(?<=[.!?])[\s]+|[\r\n]+"
+#: Paragraphs end at lines without letters and digits; in them sentences go on over line breaks.
+PARAGRAPHS = r"\n[^\p{L}\p{N}]*\n"
+ENDS = r"(?<=[.!?])\s+"
+#: This one counts only where no other license is found.
+LAST = "LicenseRef-Proprietary"
 TERMS = r"[^\p{L}\p{N}.+-]+"
 
 
@@ -67,32 +73,36 @@ def match_passages(passages: DataFrame, templates: DataFrame, similar: float = S
 
     ``passages`` has ``passage`` and ``n``, the times it occurs. Terms are
     weighted by tf * (ln((1 + passages) / (1 + passages with the term)) + 1) over
-    all passages. Of equal cosines the template given first wins.
+    all passages; those of ``n`` 0 are compared but don't count there. Of equal cosines the template given first wins.
     """
-    held = common.materialize(passages.withColumn("terms", _terms(F.col("passage"))), "passages")
+    held = common.materialize(passages.withColumn("terms", _terms(F.col("passage"))).withColumn("at", F.monotonically_increasing_id()), "passages")
+    # terms carry the passage's number, as a passage can be a whole text
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     seen = held.select("n", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((1.0 + F.lit(total)) / (1.0 + F.coalesce(F.col("df"), F.lit(0)))) + 1.0
     terms = common.materialize(
-        _counted(held, "passage").join(seen, "term", "left").select("passage", "term", (F.col("tf") * idf).alias("w")), "passage-terms"
+        _counted(held, "at").join(seen, "term", "left").select("at", "term", (F.col("tf") * idf).alias("w")), "passage-terms"
     )
     own = _counted(templates.withColumn("terms", _terms(F.col("text"))), "template").join(seen, "term", "left").select("template", "term", (F.col("tf") * idf).alias("tw"))
     own = common.materialize(own, "template-terms")
     lengths = own.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_length")).join(templates.select("template", "license"), "template")
-    norms = terms.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("p_length"))
-    dots = terms.join(F.broadcast(own), "term").groupBy("passage", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(F.broadcast(lengths), "template").join(norms, "passage").withColumn("cosine", F.round(F.col("dot") / (F.col("t_length") * F.col("p_length")), 9))
-    best = scored.where(F.col("cosine") >= similar).groupBy("passage").agg(F.max(F.struct("cosine", (-F.col("template")).alias("first"), "license")).alias("best"))
-    return best.select("passage", "best.license", "best.cosine")
+    norms = terms.groupBy("at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("p_length"))
+    dots = terms.join(F.broadcast(own), "term").groupBy("at", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(F.broadcast(lengths), "template").join(norms, "at").withColumn("cosine", F.round(F.col("dot") / (F.col("t_length") * F.col("p_length")), 9))
+    best = scored.where(F.col("cosine") >= similar).groupBy("at").agg(F.max(F.struct("cosine", (-F.col("template")).alias("first"), "license")).alias("best"))
+    return held.select("at", "passage").join(best, "at").select("passage", "best.license", "best.cosine")
 
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", templates=TEMPLATES, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, path, license, origin, cosine, directory`` for every row.
+    """``doc_id, path, license, origin, cosine, directory, licenses`` for every row.
 
     ``origin`` is ``own`` where a passage of the file matches, else ``inherited``
     where a directory above has a matching license file (``directory`` names it),
     else ``none``. A file with several licenses gets the most similar one, of
-    equals the last by name; a directory that of most of its license files. Null
+    equals the last by name, and the proprietary one only where it has no other; a
+    directory that of most of its license files. ``licenses`` has all that the file,
+    or the license files of the directory, match. Weights count lines and
+    sentences in lines, not the joined ones. Null
     and empty texts have no passages; a null path inherits nothing. Rows of one
     key share what is found in any of them. An empty table gives no rows. Other
     columns are ignored.
@@ -101,25 +111,32 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     rows = files.select(F.col(key).alias("doc_id"), F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     is_file = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAME), F.lit(False))
     sentences = F.filter(F.split("text", SENTENCES), lambda s: s.rlike(CUE))
-    found = F.when(is_file, F.concat(F.array("text"), sentences)).otherwise(sentences)
-    spoken = rows.where(is_file | F.col("text").rlike(CUE)).select("doc_id", "path", is_file.alias("is_file"), F.explode(F.array_distinct(found)).alias("passage"))
+    lines = F.when(is_file, F.concat(F.array("text"), sentences)).otherwise(sentences)
+    paragraphs = F.filter(F.split(F.regexp_replace("text", r"\r\n?", "\n"), PARAGRAPHS), lambda s: s.rlike(CUE))
+    joined = F.concat(paragraphs, F.filter(F.flatten(F.transform(paragraphs, lambda s: F.split(s, ENDS))), lambda s: s.rlike(CUE)))
+    found = lambda of, n: F.transform(of, lambda s: F.struct(s.alias("passage"), F.lit(n).alias("n")))
+    each = F.array_distinct(lines)
+    every = F.concat(found(each, 1), found(F.array_except(joined, each), 0))
+    spoken = rows.where(is_file | F.col("text").rlike(CUE)).select("doc_id", "path", is_file.alias("is_file"), F.explode(every).alias("found")).select("doc_id", "path", "is_file", "found.*")
     spoken = common.materialize(spoken, "spoken")
-    matched = match_passages(spoken.groupBy("passage").agg(F.count("*").alias("n")), templates_frame(spark, templates), similar)
+    matched = match_passages(spoken.groupBy("passage").agg(F.sum("n").alias("n")), templates_frame(spark, templates), similar)
+    ranked = F.struct((F.col("license") != LAST).alias("named"), "cosine", "license")
     per_file = common.materialize(
-        spoken.join(matched, "passage").groupBy("doc_id", "path", "is_file").agg(F.max(F.struct("cosine", "license")).alias("best")), "licensed"
+        spoken.join(matched, "passage").groupBy("doc_id", "path", "is_file").agg(F.max(ranked).alias("best"), F.collect_set("license").alias("found")), "licensed"
     )
-    own = per_file.groupBy(F.col("doc_id").alias("own_id")).agg(F.max("best").alias("best"))
+    every_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    own = per_file.groupBy(F.col("doc_id").alias("own_id")).agg(F.max("best").alias("best"), every_of("found").alias("own_found"))
     places = (
         per_file.where("is_file").groupBy(directory(F.col("path")).alias("ancestor"), F.col("best.license").alias("license"))
-        .agg(F.count("*").alias("files"), F.max("best.cosine").alias("cosine"))
-        .groupBy("ancestor").agg(F.max(F.struct("files", "cosine", "license")).alias("given"))
+        .agg(F.count("*").alias("files"), F.max("best.cosine").alias("cosine"), every_of("found").alias("found"))
+        .groupBy("ancestor").agg(F.max(F.struct((F.col("license") != LAST).alias("named"), "files", "cosine", "license")).alias("given"), every_of("found").alias("found"))
     )
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("ancestor")))
     dirs = rows.select(directory(F.col("path")).alias("dir")).where("dir is not null").distinct()
     inherited = (
         dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.ancestor").join(places, "ancestor")
-        .groupBy("dir").agg(F.max_by(F.struct("ancestor", "given"), "depth").alias("nearest"))
+        .groupBy("dir").agg(F.max_by(F.struct("ancestor", "given", "found"), "depth").alias("nearest"))
     )
     out = rows.select("doc_id", "path", directory(F.col("path")).alias("dir")).join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").join(inherited, "dir", "left")
     return out.select(
@@ -129,4 +146,5 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
         F.when(F.col("best").isNotNull(), "own").when(F.col("nearest").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.coalesce("best.cosine", "nearest.given.cosine").alias("cosine"),
         F.when(F.col("best").isNull(), F.col("nearest.ancestor")).alias("directory"),
+        F.coalesce("own_found", "nearest.found").alias("licenses"),
     )
