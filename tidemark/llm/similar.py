@@ -13,8 +13,8 @@ candidates, of few different bits before more; most of what is similar is linked
 by that, so a group of n near copies gives about n candidates. Then all
 candidates between texts that are still in different components are tried.
 
-By simulation of random bits about one pair in ten thousand at a similarity of
-just 0.8 isn't a candidate, and fewer above.
+By simulation of random bits 0.08 % of the pairs at a similarity of just 0.8 are
+missed with 16 segments, 0.007 % with 24, and fewer above; 22 weren't simulated.
 """
 
 from __future__ import annotations
