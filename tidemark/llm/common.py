@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,19 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a temporary folder is made and kept for the session.
+    The cluster names it in ``spark.checkpoint.dir``, or the session by
+    ``setCheckpointDir``. Where neither is set, a session on one machine, as in
+    tests, gets a temporary folder; on a cluster that's an error, as no folder of
+    the driver's is seen by the executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("no shared folder: set spark.checkpoint.dir to one that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders that were made in this process and not dropped since, oldest first.
+_made: list[str] = []
+
+
+def made() -> int:
+    """A mark for :func:`drop_made`."""
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what was materialized since a mark, but for the given frames, once no plan reads it any more."""
+    kept = {folder for df in keep for folder in _folders(df)}
+    for path in _made[since:]:
+        if path not in kept:
+            _delete(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -46,16 +68,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> set[str]:
+    """Those of the made folders that a frame reads."""
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    return {path for path in _made if path.rsplit("/", 1)[1] in names}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+    _made.remove(path)
+
+
 def drop_files(df: DataFrame) -> None:
     """Delete the files of a frame made by :func:`materialize` that no plan reads any more."""
-    spark = df.sparkSession
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    for path in _folders(df):
+        _delete(df.sparkSession, path)
+
+
+def keep_first(docs: DataFrame, key: str, classify) -> DataFrame:
+    """The first row of each class, with the columns of ``docs``.
+
+    ``classify`` gets ``docs`` with one more column, whose name it gets too, as the
+    key, and gives ``doc_id`` and ``component_id``, the least of its class. The
+    added key is the given one, null last, and a digest of the whole row, so each
+    row is decided by itself, and equal rows are one.
+    """
+    everything = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256))
+    marked = docs.withColumn("__row", F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), everything.alias("mark")))
+    found = classify(marked, "__row")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.mark").alias("__kept")).agg(F.count("*").alias("n"))
+    kept = materialize(kept, "kept-rows")
+    out = marked.join(kept.select("__kept"), F.col("__row.mark") == F.col("__kept"), "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["__row"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def word_count(text: Column) -> Column:

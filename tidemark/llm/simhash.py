@@ -324,11 +324,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: of each component those of its smallest key.
+    """The rows of ``docs`` that stay, with its columns: one of each component.
 
-    Repeated rows of that key stay as they are; rows with a null key go unless
-    their component has no other.
+    It is the row of the smallest key, null keys last; of several rows of one key
+    the first by a digest of all their columns. Rows that are equal in all columns
+    are one.
     """
-    found = near_duplicates(docs, key, text, width, max_bits)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_key")).distinct()
-    return docs.join(first, docs[key].eqNullSafe(F.col("__kept_key")), "left_semi")
+    return common.keep_first(docs, key, lambda marked, name: near_duplicates(marked, name, text, width, max_bits))
