@@ -52,10 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents."""
+    """Apply the stages to the documents. What a stage wrote goes when the next one's result is written."""
     docs = common.table(spark, sf_dir, "documents")
+    start = common.made()
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = common.materialize(docs, name)
+            common.drop_made(spark, start, docs)
     return docs
