@@ -10,11 +10,11 @@ candidate, and a candidate is linked if the sets of the whole texts are similar.
 
 Each anchor gives a spanning forest of its candidates, of few different bits
 before more. Its edges are verified first, and most of what is similar is linked
-by them, so a group of n near copies costs about n tests. What the forest alone
-joins is a loose component: every link lies inside one. In loose components that
-the verified edges leave in several parts, texts of different parts are then
-tested against each other, in blocks and inside the tasks, so that only the
-links leave them and never the pairs.
+by them, so a group of n near copies costs about n tests. Their components are
+the parts; what the other edges of the forest join is a loose component of
+parts, and every link that is left lies inside one. So texts of different parts
+of a loose component are tested against each other, in blocks and inside the
+tasks, so that only the links leave them and never the pairs.
 """
 
 from __future__ import annotations
@@ -372,15 +372,14 @@ def tested(roots: list[bytes], fps: np.ndarray, sets: list[np.ndarray], first: i
 def block_pairs(members: DataFrame, texts: int = TEXTS, shingles: int = SHINGLES) -> DataFrame:
     """Rows of loose components dealt to the pairs of blocks that have to be tested: ``loose, pair, side`` and the members' columns.
 
-    ``members`` has ``id, fp, shingles, root, loose``. A component's parts that fill
+    ``members`` has ``id, fp, shingles, root, loose``. A loose component's parts that fill
     more than a block have blocks of their own, which need no test against each
     other; the small parts share blocks.
     """
     size = F.size("shingles").cast("long")
     many = lambda n, s: F.greatest(F.ceil(F.col(n) / texts), F.ceil(F.col(s) / shingles), F.lit(1)).cast("int")
     parts = members.groupBy("loose", "root").agg(F.count("*").alias("n"), F.sum(size).alias("s")).withColumn("blocks", many("n", "s"))
-    split = parts.groupBy("loose").agg(F.count("*").alias("parts")).where("parts > 1").select("loose")
-    parts = common.materialize(parts.join(split, "loose", "left_semi"), "loose-parts")
+    parts = common.materialize(parts, "loose-parts")
     own = F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.lit(b""))
     blocks = parts.groupBy("loose", own.alias("own")).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("blocks", many("n", "s"))
     each = blocks.select("loose", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(own, k))")).alias("block"))
@@ -425,6 +424,14 @@ def between_parts(members: DataFrame, max_bits: int = MAX_BITS, texts: int = TEX
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
+def _contracted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs between different parts, as pairs ``a, b`` of their roots, each once."""
+    for c in ("a", "b"):
+        held = roots.select(F.col("node").alias(c), F.col("root").alias("__root"))
+        pairs = pairs.join(held, c, "left").withColumn(c, F.coalesce("__root", c)).drop("__root")
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, component_id`` for every row; the component's smallest key is its id.
 
@@ -436,14 +443,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     start = common.made()
     classes = common.materialize(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first")), "long-classes")
     pairs = common.materialize(links(classes, max_bits), "near-candidates")
-    loose = components.connected_components(pairs).select(F.col("node").alias("id"), F.col("root").alias("loose"))
     # a key's rows can have several texts: those that weren't met meet no pair
-    keys = classes.join(loose, "id", "left_semi").select(F.col("first").alias("__met_key")).distinct()
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    keys = classes.join(met, "id", "left_semi").select(F.col("first").alias("__met_key")).distinct()
     texts = docs.join(keys, docs[key].eqNullSafe(F.col("__met_key")), "left_semi").select(F.col(text).alias("text"))
     sets = common.materialize(shingle_sets(texts, width).dropDuplicates(["id"]), "near-sets")
     sure = common.materialize(verified(pairs, sets), "near-links")
     roots = components.connected_components(sure)
-    members = sets.join(loose, "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    loose = components.connected_components(common.materialize(_contracted(pairs, roots), "near-parts"))
+    members = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = members.join(loose.select(F.col("node").alias("root"), F.col("root").alias("loose")), "root")
     more = common.materialize(between_parts(common.materialize(members, "near-members"), max_bits), "near-links")
     if not more.isEmpty():
         roots = components.connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
