@@ -110,6 +110,13 @@ def keep_first(docs: DataFrame, key: str, classify) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def repeated(df: DataFrame, n: Column, name: str, most: int = 1 << 14) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in the column ``name``; no array has more than ``most`` elements, or n / ``most``."""
+    cut = df.withColumn("__times", n.cast("long")).where("__times > 0").withColumn("__chunk", F.explode(F.expr(f"sequence(0L, (__times - 1) div {most})")))
+    inside = F.explode(F.expr(f"sequence(__chunk * {most}, least(__times, (__chunk + 1) * {most}) - 1)"))
+    return cut.withColumn(name, inside).drop("__times", "__chunk")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null as 0, by built-in functions only.
 
@@ -121,9 +128,9 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marked, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
+def uniform(key: Column, seed: int | Column) -> Column:
     """A number in [0, 1) that depends on the key and the seed only."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11)
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed) if isinstance(seed, int) else seed), 11)
     return bits.cast("double") / F.lit(float(1 << 53))
 
 

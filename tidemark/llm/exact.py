@@ -192,13 +192,9 @@ def mark(docs: DataFrame, history=None, key: str = "doc_id", text: str = "text")
     is kept. An empty table gives no rows; other columns are ignored.
     """
     pairs, groups = decide(docs, earlier_half() if history is None else history, key, text)
-    first = F.explode(F.sequence(F.lit(1), F.col("reps").cast("int")))
-    return (
-        pairs.join(groups, "digest")
-        .select("doc_id", "keep_id", "group_size", "digest", first.alias("rep"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rep") == 1))
-        .drop("rep")
-    )
+    decided = pairs.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest", "reps")
+    each = common.repeated(decided, F.col("reps"), "rep")
+    return each.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("rep") == 0)).drop("rep", "reps")
 
 
 def dedup(docs: DataFrame, history=None, key: str = "doc_id", text: str = "text") -> DataFrame:

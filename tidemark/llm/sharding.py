@@ -3,7 +3,8 @@
 Groups of equal texts are ordered by a digest of their text and may not be
 split. The smallest shard capacity for which a greedy left-to-right filling
 needs no more than the given number of shards is found by binary search, and
-the sequence is cut there. Everything runs as DataFrame expressions. The search
+the sequence is cut for that capacity; as many cuts keep to it, those are taken
+that make the shards most even. Everything runs as DataFrame expressions. The search
 reads summaries of a bounded number of ranges of the sequence, and zooms into
 the ranges where a cut may lie until the capacity is exact, so what the driver
 holds does not grow with the data.
@@ -14,7 +15,8 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,6 +26,8 @@ SHARDS = 24
 RANGES = 1 << 16
 #: Rows of one group or groups of one bucket that a window's partition holds on average.
 WINDOW_ROWS = 20_000
+#: Places near each even share that cuts are chosen from.
+NEAR = 128
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,6 +41,12 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+def bucket_of(digest: Column, buckets: int) -> Column:
+    """The bucket of a digest by its leading 48 bits; floating point, as their product with the buckets can exceed a long."""
+    head = F.conv(F.hex(F.substring(digest, 1, 6)), 16, 10).cast("double")
+    return F.floor(head / F.lit(float(1 << 48)) * F.lit(float(buckets))).cast("long")
+
+
 def ordered_groups(rows: DataFrame) -> tuple[DataFrame, int, int]:
     """Groups in digest order with what stands before each: ``digest, bytes, rows, before, rows_before``; total and largest.
 
@@ -44,11 +54,10 @@ def ordered_groups(rows: DataFrame) -> tuple[DataFrame, int, int]:
     order is that of the digests. A window runs inside each bucket, and one over
     the table of buckets, whose number is the groups' over ``WINDOW_ROWS``.
     """
-    groups = common.materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    groups = common.materialize(rows.groupBy("digest").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows")), "shard-groups")
     seen = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
     buckets = max(16, -(-seen["n"] // WINDOW_ROWS))
-    head = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long")
-    placed = groups.withColumn("bucket", (head % F.lit(1 << 48) * F.lit(buckets) / F.lit(float(1 << 48))).cast("long"))
+    placed = groups.withColumn("bucket", bucket_of(F.col("digest"), buckets))
     sums = placed.groupBy("bucket").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r"))
     run = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("bucket", F.coalesce(F.sum("b").over(run), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(run), F.lit(0)).alias("r0"))
@@ -175,33 +184,66 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def even_cuts(sequence: DataFrame, total: int, capacity: int, cuts: list[int], shards: int = SHARDS) -> list[int]:
+    """Of the cuts that keep to the capacity, those whose shards have the least sum of squares.
+
+    Each cut is the given one or one of the ``NEAR`` group starts that are nearest
+    to its even share; the given cuts are always among what is chosen from.
+    """
+    if not total:
+        return cuts
+    wide = total / max(1, sequence.count()) * NEAR
+    share = F.round(F.col("before") * shards / F.lit(float(total))).cast("int")
+    off = F.abs(F.col("before") - F.col("share") * F.lit(total / shards))
+    near = sequence.select("before", share.alias("share")).where((F.col("share") > 0) & (F.col("share") < shards)).withColumn("off", off)
+    nearest = near.groupBy("share").agg(F.min_by("before", F.struct("off", "before")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("share").orderBy("off", "before"))
+    some = near.where(F.col("off") <= F.lit(wide)).withColumn("rank", rank).where(F.col("rank") <= NEAR).select("share", "before")
+    places = [{0}, *({c} for c in cuts), *({total} for _ in range(shards - len(cuts)))]
+    for r in nearest.unionByName(some).collect():
+        places[r["share"]].add(r["before"])
+    ends = [np.array(sorted(x), dtype=np.int64) for x in places]
+    cost, back = np.zeros(1), []
+    for before, after in zip(ends[:-1], ends[1:], strict=True):
+        gaps = after[:, None] - before[None, :]
+        worth = np.where((gaps >= 0) & (gaps <= capacity), cost[None, :] + (gaps / total) ** 2, np.inf)
+        back.append(worth.argmin(axis=1))
+        cost = worth.min(axis=1)
+    at, out = 0, []
+    for k in range(shards - 1, 0, -1):
+        at = int(back[k][at])
+        out.append(int(ends[k][at]))
+    return out[::-1]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shards by the law of even bytes: ``doc_id, size, text_crc32, digest, shard, slot``.
 
     Equal texts are one group and stay in one shard, so a group larger than an
     even share makes the smallest feasible capacity its own size. ``slot`` runs
-    from 0 without gaps in each shard. Null and empty texts are equal. Rows of a
-    group are counted in hashed parts, never a whole group in one task; repeated
-    rows each get a slot. An empty table gives no rows, fewer groups than shards
-    leave the last shards empty. Other columns are ignored.
+    from 0 without gaps in each shard. Null and empty texts are equal. Repeated
+    rows are counted before anything is shuffled and each get a slot; the keys of a group are numbered
+    in hashed parts, never a whole group in one task. An empty table gives no rows, fewer groups than shards
+    leave some shards empty. Other columns are ignored.
     """
-    rows = common.materialize(sized(docs, key, text), "shard-rows")
+    counted = sized(docs, key, text).groupBy("digest", "doc_id").agg(F.first("size").alias("size"), F.first("text_crc32").alias("text_crc32"), F.count("*").alias("n"))
+    rows = common.materialize(counted, "shard-rows")
     sequence, total, most = ordered_groups(rows)
-    _, cuts = minimax_cuts(sequence, total, most, shards)
+    capacity, cuts = minimax_cuts(sequence, total, most, shards)
+    cuts = even_cuts(sequence, total, capacity, cuts, shards)
     number = sum((F.when(F.col("before") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     placed = common.materialize(sequence.select("digest", number.alias("shard"), "rows_before"), "shard-groups-placed")
     bases = placed.groupBy("shard").agg(F.min("rows_before").alias("base"))
     parts = max(8, -(-rows.count() // WINDOW_ROWS))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    counts = dealt.groupBy("digest", "part").agg(F.count("*").alias("n"))
+    counts = dealt.groupBy("digest", "part").agg(F.sum("n").alias("n"))
     run = Window.partitionBy("digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         counts.withColumn("ahead", F.coalesce(F.sum("n").over(run), F.lit(0)))
         .join(placed, "digest").join(F.broadcast(bases), "shard")
         .select("digest", "part", "shard", (F.col("rows_before") - F.col("base") + F.col("ahead")).alias("start"))
     )
-    own = F.row_number().over(Window.partitionBy("digest", "part").orderBy("doc_id")) - 1
-    numbered = dealt.withColumn("own", own)
-    return numbered.join(starts, ["digest", "part"]).select(
-        "doc_id", "size", "text_crc32", "digest", "shard", (F.col("start") + F.col("own")).cast("long").alias("slot")
-    )
+    own = Window.partitionBy("digest", "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(starts, ["digest", "part"])
+    each = common.repeated(numbered, F.col("n"), "repeat")
+    return each.select("doc_id", "size", "text_crc32", "digest", "shard", (F.col("start") + F.col("own") + F.col("repeat")).cast("long").alias("slot"))
