@@ -3,6 +3,12 @@
 Each stage takes what its predecessor kept and gives the columns of the
 documents, but for the last, which gives the packed pieces. A result is written
 as Parquet and read again before the next stage.
+
+For all stages: null texts count as empty, and an empty text is a document like
+any other, which is never toxic, is equal to other empty ones, and has one piece
+without a bin. Keys may be null or repeat; rows are decided by themselves where a
+stage keeps one of several. Empty tables give empty results, without labels
+nothing is toxic. Other columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each document comes as often as its source's target asks for."""
-    return mixing.emit(docs, mixing.mix(docs, common.word_count(F.col("text"))))
+    sources, _ = mixing.plan(docs, common.word_count(F.col("text")))
+    return mixing.emit(docs, sources)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
