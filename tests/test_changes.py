@@ -9,7 +9,7 @@ from tidemark import errors
 from tidemark import schema as S
 from tidemark.db import Database
 from tidemark.operators import changes as C
-from tidemark.operators import evolve, writes
+from tidemark.operators import evolve, sync, writes
 from tidemark.operators.clock import HybridClock, stamp_column
 from tidemark.plans.ast import Q, exists, identity
 from tidemark.plans.compile import Compiler
@@ -113,6 +113,7 @@ QUERIES = (
     Q("groups").include("items"),
     Q("groups").include("items", extend=lambda r: r.order("n", "DESC").take(2)).order("name", "DESC"),
     Q("groups").where(exists("items", ("n", ">", 5))),
+    Q("groups").where(exists("items", ("n", ">", 5))).include("items").order("name", "DESC"),
 )
 
 
@@ -165,7 +166,6 @@ def test_transactions(spark, shop):
         tx.update("items", spark.createDataFrame([("x", 1)], "id string, nope int"))
     made = writes.with_defaults(spark.createDataFrame([("a",), ("b",)], "g string"), shop.schema.collections["items"].attrs).collect()
     assert len({r["id"] for r in made}) == 2 and all(len(r["id"]) == 21 for r in made)
-    assert len(writes.nanoid()) == 21 and writes.uuid7()[14] == "7"
 
 
 def test_write_permissions(spark, shop):
@@ -256,3 +256,147 @@ def test_files(spark, shop, tmp_path):
     assert len(found) == 11
     triples = C.entities_to_triples(shop.catalog.frame("groups"), "groups", "id").collect()
     assert ("a", "groups", ["name"], "A", None) in [tuple(t) for t in triples]
+
+
+RECORD = "id string, g string, p struct<a:int,b:string,c:struct<x:int,y:int>>"
+
+
+def replay_records(base, changes):
+    """The rules for records one change at a time; a change is (op, id, [(path, value)])."""
+    state = {k: {"id": k, **v} for k, v in base.items()}
+    for op, i, sets in changes:
+        if op == "delete":
+            state.pop(i, None)
+            continue
+        if op == "update" and i not in state:
+            continue
+        row = state.setdefault(i, {"id": i, "g": None, "p": None})
+        for path, value in sets:
+            at, (*above, leaf) = row, path.split(".")
+            for part in above:
+                if at[part] is None:
+                    at[part] = {"p": {"a": None, "b": None, "c": None}, "c": {"x": None, "y": None}}[part]
+                at = at[part]
+            at[leaf] = value
+    return state
+
+
+def test_records_merge_by_replay(spark):
+    rng = random.Random(8)
+    record = lambda: rng.choice([None, {"a": rng.randint(0, 9), "b": rng.choice(["s", None]), "c": rng.choice([None, {"x": 1, "y": None}])}])
+    values = {"g": lambda: rng.choice(["a", None]), "p": record, "p.a": lambda: rng.choice([None, 5]), "p.b": lambda: "n", "p.c": lambda: rng.choice([None, {"x": 7, "y": 8}]), "p.c.x": lambda: rng.choice([None, 3])}
+    base = {f"i{k}": {"g": "a", "p": record()} for k in range(5)}
+    changes = []
+    for _ in range(60):
+        path = rng.choice(list(values))
+        changes.append((rng.choice(["insert", "update", "update", "update", "delete"]), f"i{rng.randint(0, 7)}", [(path, values[path]())]))
+    frame = spark.createDataFrame([(k, v["g"], v["p"]) for k, v in base.items()], RECORD)
+    rows_ = []
+    for seq, (op, i, sets) in enumerate(changes):
+        row = replay_records({i: {"g": None, "p": None}}, [("update", i, sets)])[i]
+        rows_.append((seq, op, [] if op == "delete" else [p for p, _ in sets], i, row["g"], row["p"]))
+    part = spark.createDataFrame(rows_, "seq long, op string, fields array<string>, " + RECORD)
+    want = sorted(map(str, (tuple(v.values()) for v in replay_records(base, changes).values())))
+    plain = lambda df: sorted(str((r["id"], r["g"], r["p"].asDict(True) if r["p"] is not None else None)) for r in df.collect())
+    assert plain(C.overlay(frame, part)) == want
+    first, second = part.where("seq < 25"), part.where("seq >= 25")
+    assert plain(C.overlay(frame, first, second)) == want
+    assert plain(C.overlay(frame, C.merge_changes(first, second))) == want
+    assert plain(C.overlay(C.overlay(frame, first), C.effective(C.overlay(frame, first), second))) == want
+
+
+def test_defaults_are_stored(spark):
+    attrs = {"id": S.identifier("uuidv7"), "t": S.date(default={"fn": "now"}), "u": S.string(default={"fn": "uuidv4"}), "k": S.string(default={"fn": "nanoid", "args": [9]}), "n": S.number(default=4.0), "s": S.set_of("string", default={"fn": "empty"})}
+    schema = S.Schema.of(S.Collection("t", attrs))
+    db = Database(K.Catalog({"t": K.empty(spark, schema, "t")}), schema).insert("t", spark.range(50).select())
+    one, two = rows(db.fetch(Q("t"))), rows(db.fetch(Q("t")))
+    assert one == two and len({r[0] for r in one}) == 50 == len({r[2] for r in one}) and len({r[1] for r in one}) == 1
+    for i, t, u, k, n, s in one:
+        assert i[14] == "7" and i[19] in "89ab" and u[14] == "4" and len(k) == 9 and n == 4.0 and s == []
+        assert abs(int(i.replace("-", "")[:12], 16) / 1000 - t.timestamp()) < 0.002
+
+
+def test_patches_of_records_and_functions(spark):
+    contact = S.record({"name": S.string(), "age": S.number(nullable=True)})
+    schema = S.Schema.of(S.Collection("c", {"id": S.string(), "p": contact}))
+    db = Database(K.Catalog({"c": spark.createDataFrame([("1", ("a", 3.0)), ("2", ("b", 4.0))], "id string, p struct<name:string,age:double>")}), schema)
+    get = lambda d: {r["id"]: tuple(r["p"]) for r in d.fetch(Q("c")).collect()}
+    assert get(db.update("c", spark.createDataFrame([("1", (9.0,))], "id string, p struct<age:double>"))) == {"1": ("a", 9.0), "2": ("b", 4.0)}
+    assert get(db.update("c", spark.createDataFrame([("1", (None,))], "id string, p struct<age:double>"))) == {"1": ("a", None), "2": ("b", 4.0)}
+    tx = writes.Transaction.begin(db)
+    assert get(tx.update("c", spark.createDataFrame([("2", ("z",))], "id string, p struct<name:string>"), whole=("p",)).commit()) == {"1": ("a", 3.0), "2": ("z", None)}
+    assert get(db.update_where("c", ("p.age", ">", 3.0), {"p.age": F.col("p.age") * 2})) == {"1": ("a", 3.0), "2": ("b", 8.0)}
+    for bad in (lambda: db.update("c", spark.createDataFrame([("1", (None,))], "id string, p struct<name:string>")), lambda: db.update_where("c", (), {"id": "9"})):
+        with pytest.raises(errors.TidemarkError):
+            bad()
+
+
+def test_many_writes_stay_one_join(spark, shop):
+    db = shop
+    for k in range(12):
+        db = db.insert("items", spark.createDataFrame([(f"n{k}", "a", k)], KIND))
+    assert db.fetch(Q("items")).count() == 20
+    plan = db.fetch(Q("items"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and len(db.catalog._parts["items"][1]) <= K.MOST_PARTS + 1
+
+
+def test_live_plans_reduce_the_collection_first(spark, shop):
+    view = live.View.open(shop, Q("items").where("n", ">", 1).order("n", "DESC").take(3))
+    for k in range(10):
+        view = view.apply({"items": spark.createDataFrame([(k, "update", ["n"], f"i{k % 8}", None, k)], SCHEMA)})
+    assert view.rows.collect() == view.db.fetch(view.query.select()).collect()
+    assert view.rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # it is written
+    ids = spark.createDataFrame([("i1",)], "id string")
+    some = view.db.catalog.some("items", ids, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert some.index("Join FullOuter") < some.index("Join LeftSemi")  # the reduction is below the join with the changes
+
+
+def test_stream_folder_does_not_grow(spark, shop, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 3)
+    for k in range(8):
+        spark.createDataFrame([(0, "insert", ["id", "g", "n"], f"new{k}", "a", 50 + k)], SCHEMA).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    seen = []
+    running = live.live_query(shop, Q("items").where("g", "=", "a"), "items", stream, f"{tmp_path}/state", lambda df, d: seen.append(df.count()), availableNow=True)
+    running.awaitTermination(120)
+    assert running.exception() is None and seen == list(range(5, 13))
+    left = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name != "checkpoint")
+    assert len(left) <= 2 * 3 + 3, left
+
+
+def test_status_and_background(spark, shop):
+    heard = []
+    subs = live.Subscriptions(shop)
+    subs.subscribe_with_status(Q("items").where("g", "=", "a"), lambda df, s: heard.append((s, df.count())))
+    subs.subscribe_with_status(Q("items").where("nope", "=", "a"), lambda df, s: heard.append((s.split(":")[0], df.count())))
+    end = subs.subscribe_background(Q("items").where("g", "=", "a"))
+    assert heard == [("loading", 0), ("fulfilled", 4), ("loading", 0), ("failed", 0)]
+    subs.buffer({"items": spark.createDataFrame([(1, "delete", [], "i0", None, None)], SCHEMA)})
+    subs.update()
+    end()
+    assert heard[-1] == ("fulfilled", 3)
+
+
+def test_outbox_connection_and_handshake(spark, shop):
+    change = lambda i, n: {"items": spark.createDataFrame([(0, "update", ["n"], i, None, n)], SCHEMA)}
+    box = sync.Outbox().write(change("i0", 10)).lock().write(change("i0", 11)).write(change("i1", 12))
+    n_of = lambda db: {r["id"]: r["n"] for r in db.fetch(Q("items").where("id", "in", ["i0", "i1"])).collect()}
+    assert box.lock() == box and n_of(box.seen(shop)) == {"i0": 11, "i1": 12} and n_of(box.roll_back().seen(shop)) == {"i0": 11, "i1": 12}
+    assert [tuple(r) for r in box.to_send(shop)["items"].select("id", "n").collect()] == [("i0", 10)]
+    left, confirmed = box.acknowledge(shop)
+    assert n_of(confirmed) == {"i0": 10, "i1": 1} and left.locked == () and len(left.open) == 2
+    assert len(box.rebase().open) == 3 and n_of(box.rebase().seen(shop)) == {"i0": 11, "i1": 12}
+    old = shop.schema
+    items, groups = old.collections["items"], old.collections["groups"]
+    wider = S.Schema.of(S.Collection("items", {**items.attrs, "more": S.string(optional=True)}), groups)
+    narrower = S.Schema.of(S.Collection("items", {k: a for k, a in items.attrs.items() if k != "g"}), groups)
+    assert sync.handshake(None, old)[0] and not sync.handshake(old, None)[0] and sync.handshake(old, old) == (True, ())
+    assert sync.handshake(old, wider)[0] and not sync.handshake(old, narrower)[0]
+    assert sync.handshake(old, narrower, (sync.schema_hash(old),))[0]
+
+
+def test_metadata(spark, tmp_path):
+    assert K.read_metadata(spark, f"{tmp_path}", "k", 5) == 5
+    for value in ({"a": [1]}, ["x"]):
+        K.write_metadata(spark, f"{tmp_path}", "k", value)
+        assert K.read_metadata(spark, f"{tmp_path}", "k") == value

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import schema as S
 from .db import Database
 from .operators import changes as C
-from .operators import evolve, writes
+from .operators import evolve, sync, writes
 from .plans.ast import Q, and_, exists, or_
 from .sources import catalog as K
 from .streaming import live
@@ -372,6 +372,29 @@ def perm_insert_violations(db):
     return writes.forbidden(own, "customers", "insert", rows).select("c_custkey")
 
 
+_KEEPER = {"clerk": {"read": (True,), "update": (("c_mktsegment", "=", "$role.segment"),), "postUpdate": (("c_acctbal", ">=", "$prev.c_acctbal"),), "delete": (exists("orders"), ("c_acctbal", "<", 0.0))}}
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 2 AND c_mktsegment <> 'MACHINERY'", customers=_KEEPER)
+def perm_update_violations(db):
+    own = db.with_session({"role": "clerk", "segment": "MACHINERY"})
+    return writes.forbidden(own, "customers", "update", db.catalog.frame("customers").where("c_nationkey = 2")).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 2 AND c_custkey % 3 = 0", customers=_KEEPER)
+def perm_post_update_violations(db):
+    own = db.with_session({"role": "clerk", "segment": "MACHINERY"})
+    before = db.catalog.frame("customers").where("c_nationkey = 2")
+    after = before.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 3 == 0, -1).otherwise(1))
+    return writes.forbidden(own, "customers", "postUpdate", after, before).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 2 AND NOT (c_acctbal < 0 AND c_custkey IN (SELECT o_custkey FROM orders))", customers=_KEEPER)
+def perm_delete_violations(db):
+    own = db.with_session({"role": "clerk", "segment": "MACHINERY"})
+    return writes.forbidden(own, "customers", "delete", db.catalog.frame("customers").where("c_nationkey = 2")).select("c_custkey")
+
+
 # -- changes ----------------------------------------------------------------------
 
 
@@ -394,7 +417,7 @@ UNION ALL SELECT event_id + 1000000000, ts, user_id, event_type, value, props FR
 
 @query(f"SELECT * FROM {_AFTER}")
 def tx_overlay(db):
-    return C.overlay(db.catalog.frame("events"), _event_changes(db), "event_id")
+    return C.overlay(db.catalog.frame("events"), _event_changes(db), id_column="event_id")
 
 
 @query("""SELECT event_id, ts, user_id, CASE WHEN event_id % 10 = 1 THEN 'sent again' ELSE event_type END AS event_type,
@@ -428,7 +451,7 @@ def mut_delete_reinsert(db):
     n = db.catalog.frame("nations")
     some = n.where("n_nationkey < 4")
     parts = C.make_changes(some, "delete", F.lit(1), []).unionByName(C.make_changes(some.withColumn("n_regionkey", F.lit(9)), "insert", F.lit(2), ["n_nationkey", "n_regionkey"]))
-    return C.overlay(n, parts, "n_nationkey")
+    return C.overlay(n, parts, id_column="n_nationkey")
 
 
 @query(f"SELECT user_id, unnest(list_distinct(list_concat(list_filter(types, lambda x: x <> 'click'), ['vip']))) AS member FROM {_PROFILES}")
@@ -439,6 +462,65 @@ def mut_set_merge(db):
     return p.select("user_id", F.explode(C.set_members(C.merge_set(state, patch))).alias("member"))
 
 
+@query("""SELECT n_nationkey, n_name, n_regionkey, 'open' AS state, true AS same, true AS dated, '7' AS version FROM nation WHERE n_nationkey < 0
+UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey, 'open', true, true, '7' FROM nation""")
+def mut_default_stored(db):
+    """Two reads of inserted rows find the same defaults; ids are of version 7 and times those of the write."""
+    n = db.catalog.frame("nations")
+    attrs = {"n_nationkey": S.number(), "n_name": S.string(), "n_regionkey": S.number(), "state": S.string(default="open"), "made": S.date(default={"fn": "now"}), "token": S.string(default={"fn": "uuidv7"}), "tag": S.string(default={"fn": "nanoid"})}
+    own = Database(K.Catalog({"offices": n.where("false").selectExpr("*", "'' AS state", "current_timestamp() AS made", "'' AS token", "'' AS tag")}), S.Schema.of(S.Collection("offices", attrs, id="n_nationkey")))
+    after = own.insert("offices", n.withColumn("n_nationkey", F.col("n_nationkey") + 100))
+    one, two = after.fetch(Q("offices")), after.fetch(Q("offices")).select(F.col("n_nationkey").alias("id"), F.struct("made", "token", "tag").alias("second"))
+    dated = F.abs(F.unix_millis("made") - F.conv(F.substring(F.translate("token", "-", ""), 1, 12), 16, 10).cast("long")) < 1
+    return one.join(two, F.col("n_nationkey") == F.col("id")).select("n_nationkey", "n_name", "n_regionkey", "state", (F.struct("made", "token", "tag") == F.col("second")).alias("same"), dated.alias("dated"), F.substring("token", 15, 1).alias("version"))
+
+
+def _contact_rows(db):
+    return db.catalog.frame("contacts").where("c_custkey % 3 = 0").select("c_custkey")
+
+
+_CONTACTS = """SELECT c_custkey, {name} AS name, {nation} AS nation, {segment} AS segment FROM customer"""
+
+
+def _contacts(db):
+    return db.fetch(Q("contacts")).select("c_custkey", "profile.name", F.col("profile.home.c_nationkey").alias("nation"), F.col("profile.home.c_mktsegment").alias("segment"))
+
+
+@query(_CONTACTS.format(name="c_name", nation="CASE WHEN c_custkey % 3 = 0 THEN 99 ELSE c_nationkey END", segment="c_mktsegment"))
+def mut_record_merge(db):
+    rows = _contact_rows(db).select("c_custkey", F.struct(F.struct(F.lit(99).alias("c_nationkey")).alias("home")).alias("profile"))
+    return _contacts(writes.Transaction.begin(db).update("contacts", rows).db)
+
+
+@query(_CONTACTS.format(name="CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END", nation="c_nationkey", segment="c_mktsegment"))
+def mut_record_null(db):
+    rows = _contact_rows(db).select("c_custkey", F.struct(F.lit(None).cast("string").alias("name")).alias("profile"))
+    return _contacts(writes.Transaction.begin(db).update("contacts", rows).db)
+
+
+@query(_CONTACTS.format(name="c_name", nation="CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE c_nationkey END", segment="CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END"))
+def mut_record_assign(db):
+    rows = _contact_rows(db).select("c_custkey", F.struct(F.struct(F.lit(7).alias("c_nationkey")).alias("home")).alias("profile"))
+    return _contacts(writes.Transaction.begin(db).update("contacts", rows, whole=("profile.home",)).db)
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def mut_update_fn(db):
+    tx = writes.Transaction.begin(db).update_where("customers", ("c_acctbal", "<", 0.0), {"c_acctbal": -F.col("c_acctbal"), "c_mktsegment": F.lower("c_mktsegment")})
+    return tx.fetch(Q("customers"))
+
+
+@query("""SELECT event_id, 'update' AS op, CASE WHEN event_type = 'click' THEN 'value' ELSE 'event_type,value' END AS fields FROM events WHERE event_id % 10 = 1
+UNION ALL SELECT event_id, 'delete', '' FROM events WHERE event_id % 10 = 0""")
+def changes_effective(db):
+    e = db.catalog.frame("events")
+    patched = e.where("event_id % 10 = 1").withColumn("value", F.col("value") + 1).withColumn("event_type", F.lit("click"))
+    nothing, gone = e.where("event_id % 10 = 2"), e.where("event_id % 10 = 0")
+    parts = C.make_changes(patched, "update", F.lit(1), ["value", "event_type"]).unionByName(C.make_changes(nothing, "update", F.lit(2), ["value"]))
+    parts = parts.unionByName(C.make_changes(gone.unionByName(gone.withColumn("event_id", F.col("event_id") + 1000000000)), "delete", F.lit(3), []))
+    return C.effective(e, parts, "event_id").select("event_id", "op", F.array_join(F.array_sort("fields"), ",").alias("fields"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 10 IN (0, 5) THEN 'delete' WHEN event_id >= 1000000000 THEN 'insert' ELSE 'update' END AS op,
 CASE WHEN event_id % 10 = 1 THEN 'sent again' WHEN event_id >= 1000000000 THEN event_type END AS event_type
 FROM (SELECT event_id, event_type FROM events WHERE event_id % 10 IN (0, 1, 5) UNION ALL SELECT event_id + 1000000000, event_type FROM events WHERE event_id % 10 = 2)""")
@@ -453,7 +535,7 @@ UNION ALL SELECT event_id, 'update', 'event_type,value' FROM events WHERE event_
 UNION ALL SELECT event_id + 1000000000, 'insert', NULL FROM events WHERE event_id % 10 = 2""")
 def diff_snapshots(db):
     e = db.catalog.frame("events")
-    found = C.diff(e, C.overlay(e, _event_changes(db), "event_id"), "event_id")
+    found = C.diff(e, C.overlay(e, _event_changes(db), id_column="event_id"), "event_id")
     names = F.array_join(F.array_sort("changed"), ",")
     return found.select("event_id", "op", F.when(F.col("op") == "update", names).when(F.col("op") == "delete", "").alias("changed"))
 
@@ -536,12 +618,82 @@ def ivm_after_changes(db):
     return view.result()
 
 
+@query("""SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000 AND s_suppkey % 3 <> 0 AND s_suppkey % 3 <> 1)
+OR n_nationkey = 0 AND EXISTS (SELECT 1 FROM supplier WHERE s_acctbal > 5000 AND s_suppkey % 3 = 1)""")
+def ivm_exists(db):
+    s = db.catalog.frame("suppliers")
+    part = C.make_changes(s.where("s_suppkey % 3 = 0"), "delete", F.lit(1), []).unionByName(C.make_changes(s.where("s_suppkey % 3 = 1").withColumn("s_nationkey", F.lit(0)), "update", F.lit(2), ["s_nationkey"]))
+    return live.View.open(db, Q("nations").where(exists("suppliers", ("s_acctbal", ">", 5000.0))).select("n_nationkey", "n_name")).apply({"suppliers": part}).result()
+
+
+# -- sync ------------------------------------------------------------------------------
+
+
+def _outbox(db):
+    """Deletes and patches that were sent, and inserts and one more patch since."""
+    e = db.catalog.frame("events")
+    more = C.make_changes(e.where("event_id % 10 = 1").withColumn("event_type", F.lit("sent again")), "update", F.lit(1), ["event_type"])
+    sent = sync.Outbox().write({"events": _part(db, 3)}).write({"events": _part(db, 2)}).lock()
+    return sent.write({"events": _part(db, 1)}).write({"events": more})
+
+
+def _events_after(where, event_type, value, inserted=True):
+    more = "UNION ALL SELECT event_id + 1000000000, event_type, value FROM events WHERE event_id % 10 = 2" if inserted else ""
+    return f"SELECT event_id, {event_type} AS event_type, {value} AS value FROM events WHERE {where} {more}"
+
+
+_SHOWN = Q("events").select("event_id", "event_type", "value")
+
+
+@query(_events_after("event_id % 10 <> 0", "CASE WHEN event_id % 10 = 1 THEN 'patched' ELSE event_type END", "CASE WHEN event_id % 10 = 1 THEN value + 1 ELSE value END", False))
+def outbox_acknowledge(db):
+    """What is confirmed after the server's answer."""
+    return _outbox(db).acknowledge(db)[1].fetch(_SHOWN)
+
+
+@query(_events_after("event_id % 10 <> 0", "CASE WHEN event_id % 10 = 1 THEN 'sent again' ELSE event_type END", "CASE WHEN event_id % 10 = 1 THEN value + 1 ELSE value END"))
+def outbox_rebase(db):
+    """Sending failed: all is sent as one the next time, and the client sees the same."""
+    again = _outbox(db).rebase().lock()
+    return db.apply_changes(again.to_send(db)).fetch(_SHOWN)
+
+
+@query(_events_after("true", "CASE WHEN event_id % 10 = 1 THEN 'sent again' ELSE event_type END", "value"))
+def outbox_roll_back(db):
+    return _outbox(db).roll_back().seen(db).fetch(_SHOWN)
+
+
+@query("""SELECT 'suppliers' AS collection, s_suppkey AS id, 'delete' AS op FROM supplier WHERE s_nationkey < 3 AND s_acctbal <= 5000
+UNION ALL SELECT 'suppliers', s_suppkey, 'insert' FROM supplier WHERE s_nationkey IN (3, 4) AND s_acctbal <= 5000
+UNION ALL SELECT 'nations', n_nationkey, 'delete' FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'nations', n_nationkey, 'insert' FROM nation WHERE n_nationkey IN (3, 4)""")
+def sync_union_diff(db):
+    """A query of one connection moves to other nations; suppliers that another query has too stay."""
+    some = lambda *w: sync.entity_frames(db.fetch(Q("nations").where(*w).include("suppliers")), "nations", {"suppliers": ("suppliers", {})})
+    rich = sync.entity_frames(db.fetch(Q("suppliers").where("s_acctbal", ">", 5000.0)), "suppliers")
+    held, _ = sync.Connection(db).answer("rich", rich)
+    held, _ = held.answer("near", some("n_nationkey", "<", 3))
+    _, out = held.answer("near", some("n_nationkey", "in", [3, 4]))
+    parts = [out[n].select(F.lit(n).alias("collection"), F.col(c).cast("long").alias("id"), "op") for n, c in (("suppliers", "s_suppkey"), ("nations", "n_nationkey"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000 AND EXISTS (
+SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey < c_nationkey)""")
+def rel_value_path(db):
+    """The value is a path through a relationship of the parent."""
+    return db.fetch(Q("orders").where(("o_totalprice", ">", 300000.0), exists("lines", ("l_suppkey", "<", "$1.customer.c_nationkey"))).select("o_orderkey"))
+
+
 # -- the rest --------------------------------------------------------------------------
 
 
-@query("SELECT 'regions' AS collection, count(*) AS count FROM region UNION ALL SELECT 'nations', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
+_COUNTED = {n: t for n, t in TABLES.items()} | {"graded": "documents", "contacts": "customer"}
+_DISTINCT = {"chats": ("conversations", "conv_id"), "profiles": ("events", "user_id")}
+
+
+@query(" UNION ALL ".join([f"SELECT '{n}' AS collection, count(*) AS count FROM {t}" for n, t in _COUNTED.items()] + [f"SELECT '{n}', count(DISTINCT {c}) FROM {t}" for n, (t, c) in _DISTINCT.items()]))
 def collection_stats(db):
-    return K.collection_stats(K.Catalog({n: db.catalog.frame(n) for n in ("regions", "nations", "orders")}))
+    return db.stats()
 
 
 @query("SELECT 'regions' AS collection, r_regionkey::VARCHAR AS id FROM region UNION ALL SELECT 'nations', n_nationkey::VARCHAR FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'suppliers', s_suppkey::VARCHAR FROM supplier JOIN nation ON n_nationkey = s_nationkey")
@@ -563,12 +715,14 @@ def serialize_json(db):
     return K.serialize(db.fetch(Q("nations").include("region").select("n_nationkey", "n_name")))
 
 
-@query("SELECT 'regions' AS collection, count(*) * 2 AS count FROM region UNION ALL SELECT 'nations', count(*) * 2 FROM nation")
+@query("""SELECT 'regions' AS collection, r_regionkey AS id, r_name AS name FROM region UNION ALL SELECT 'regions', r_regionkey + 100, lower(r_name) FROM region
+UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation UNION ALL SELECT 'nations', n_nationkey + 100, n_name FROM nation""")
 def bulk_insert(db):
-    regions = db.catalog.frame("regions").withColumn("r_regionkey", F.col("r_regionkey") + 100)
+    regions = db.catalog.frame("regions").select((F.col("r_regionkey") + 100).alias("r_regionkey"), F.lower("r_name").alias("r_name"))
     nations = db.catalog.frame("nations").withColumn("n_nationkey", F.col("n_nationkey") + 100)
     after = writes.bulk_insert(db, {"regions": regions, "nations": nations})
-    return K.collection_stats(K.Catalog({n: after.catalog.frame(n) for n in ("regions", "nations")}))
+    parts = [after.fetch(Q(n)).select(F.lit(n).alias("collection"), F.col(i).alias("id"), F.col(c).alias("name")) for n, i, c in (("regions", "r_regionkey", "r_name"), ("nations", "n_nationkey", "n_name"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("""SELECT doc_id AS id, 'quality' AS attribute, 'missing' AS issue FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)

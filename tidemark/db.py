@@ -76,15 +76,15 @@ class Database:
     def update(self, collection: str, rows: DataFrame) -> Database:
         return self.transact(lambda tx: tx.update(collection, rows))
 
+    def update_where(self, collection: str, filters, values: dict[str, Any]) -> Database:
+        return self.transact(lambda tx: tx.update_where(collection, filters, values))
+
     def delete(self, collection: str, ids: DataFrame) -> Database:
         return self.transact(lambda tx: tx.delete(collection, ids))
 
     def apply_changes(self, changes: dict[str, DataFrame]) -> Database:
         """Changesets of a trusted source, without rules and validation."""
-        from .operators.changes import overlay
-
-        id_of = self.context().id_of
-        return self.with_collections(**{n: overlay(self.catalog.frame(n), part, id_of(n)) for n, part in changes.items()})
+        return replace(self, catalog=self.catalog.applied(changes, self.context().id_of))
 
     def clear(self) -> Database:
         return self.with_collections(**{n: self.catalog.frame(n).where("false") for n in self.catalog.names})

@@ -1,107 +1,183 @@
 """Changesets as DataFrames.
 
 A change is a row ``seq, id, op, fields`` and the collection's columns: ``op``
-is insert, update or delete, ``fields`` names the columns that a patch sets,
-``seq`` orders the changes. A column that ``fields`` names is set even to null.
+is insert, update or delete, ``fields`` names what a patch sets, ``seq`` orders
+the changes. A name is a column, which is then set as a whole, or a dotted path
+of a record's member, and what isn't named stays. What is named is set even to null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEQ, OP, FIELDS = "seq", "op", "fields"
 
 
-def make_changes(rows: DataFrame, op: str | Column, seq: Column, fields: list[str] | None = None) -> DataFrame:
+def make_changes(rows: DataFrame, op: str | Column, seq: Column, fields: list[str] | Column | None = None) -> DataFrame:
     """Changes of rows; without ``fields`` all columns are set."""
     op = F.lit(op) if isinstance(op, str) else op
-    names = F.array(*[F.lit(f) for f in (fields if fields is not None else rows.columns)])
-    return rows.select(seq.cast("long").alias(SEQ), op.alias(OP), names.alias(FIELDS), *rows.columns)
+    if not isinstance(fields, Column):
+        fields = F.array(*[F.lit(f) for f in (fields if fields is not None else rows.columns)]).cast("array<string>")
+    return rows.select(seq.cast("long").alias(SEQ), op.alias(OP), fields.alias(FIELDS), *rows.columns)
 
 
-def _live(changes: DataFrame, base: DataFrame | None, id_column: str) -> DataFrame:
-    """The changes that still count: those after an entity's last delete, from the insert on where it wasn't there.
+def patch_fields(rows: DataFrame, columns: list[str], whole: tuple[str, ...] = ()) -> Column:
+    """The names that patches set: columns, and of records the members that the rows have, so that others stay.
 
-    ``__was`` tells whether the base has the entity, ``__gone`` whether it was deleted since.
+    A record that is null is set to null, one whose path is in ``whole`` is set as
+    a whole, so that members which the rows don't have become null.
     """
-    if base is None:
-        known = changes.withColumn("__was", F.lit(True))
-    else:
-        ids = base.select(F.col(id_column).alias("__base_id")).distinct()
-        known = changes.join(ids, F.col(id_column) == F.col("__base_id"), "left").withColumn("__was", F.col("__base_id").isNotNull()).drop("__base_id")
-    own = Window.partitionBy(id_column)
-    gone = known.withColumn("__deleted", F.max(F.when(F.col(OP) == "delete", F.col(SEQ))).over(own))
-    later = F.col("__deleted").isNull() | (F.col(SEQ) > F.col("__deleted"))
-    first = F.min(F.when((F.col(OP) == "insert") & later, F.col(SEQ))).over(own)
-    start = F.when(F.col("__was") & F.col("__deleted").isNull(), F.lit(-(1 << 62))).otherwise(first)
-    return gone.withColumn("__start", start).withColumn("__counts", (F.col(OP) != "delete") & later & F.coalesce(F.col(SEQ) >= F.col("__start"), F.lit(False)))
-
-
-def _folded(changes: DataFrame, base: DataFrame | None, id_column: str, columns: list[str]) -> DataFrame:
-    """A row per entity: ``__gone``, ``__alive``, and for each column its last value and whether one was set."""
-    live = _live(changes, base, id_column)
-    aggs = [F.max(F.col("__deleted").isNotNull()).alias("__gone"), F.max("__counts").alias("__alive")]
-    for c in columns:
-        if c != id_column:
-            on = F.col("__counts") & F.array_contains(FIELDS, c)
-            aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(on, F.col(SEQ))).alias(f"__new_{c}"))
-    return live.groupBy(id_column).agg(*aggs)
-
-
-def overlay(base: DataFrame, changes: DataFrame, id_column: str = "id") -> DataFrame:
-    """The collection after the changes, in the order of ``seq``.
 
-    An insert of an entity that is there merges into it, an update of one that
-    isn't does nothing, and a delete forgets what came before it. One shuffle on
-    the id serves the join and the fold.
-    """
-    columns = base.columns
-    folded = _folded(changes, base, id_column, columns).withColumnRenamed(id_column, "__id")
-    joined = base.join(folded, F.col(id_column) == F.col("__id"), "full_outer")
-    stays = F.coalesce(F.col("__alive"), F.lit(False)) | (F.col(id_column).isNotNull() & ~F.coalesce(F.col("__gone"), F.lit(False)))
-    forgets = F.coalesce(F.col("__gone"), F.lit(False))
-    out = []
-    for c in columns:
-        if c == id_column:
-            out.append(F.coalesce(F.col(c), F.col("__id")).alias(c))
-        else:
-            new = F.col(f"__new_{c}")
-            out.append(F.when(new.isNotNull(), new["v"]).when(~forgets, F.col(c)).alias(c))
-    return joined.where(stays).select(*out)
+    def names(path: str, kind: T.DataType, value: Column) -> Column:
+        own = F.array(F.lit(path))
+        if not isinstance(kind, T.StructType) or path in whole or not kind.fields:
+            return own
+        return F.when(value.isNull(), own).otherwise(F.concat(*[names(f"{path}.{f.name}", f.dataType, value.getField(f.name)) for f in kind.fields]))
 
+    found = [names(c, rows.schema[c].dataType, F.col(f"`{c}`")) for c in columns]
+    return F.concat(*found) if found else F.array().cast("array<string>")
 
-def merge_changes(*parts: DataFrame, id_column: str = "id") -> DataFrame:
-    """Changesets, each after the one before it, as one: a row per entity with its last delete, or its merged patch.
 
-    ``op`` is delete where nothing follows the delete, insert where an insert does, else update.
-    """
+# Folding: the last change that sets each leaf, with its place in the order. Whether it still counts, after a
+# delete or before an insert, follows from that place, so an entity's changes are only ever aggregated.
+
+
+def _sets(path: tuple) -> Column:
+    """Whether a change names a path or something that it is a part of."""
+    names = [".".join(path[: i + 1]) for i in range(len(path))]
+    return F.array_contains(FIELDS, names[0]) if len(names) == 1 else F.arrays_overlap(F.col(FIELDS), F.array(*[F.lit(n) for n in names]))
+
+
+def _name(path: tuple) -> str:
+    return "__new_" + "/".join(path)
+
+
+def _aggs(path: tuple, kind: T.DataType, value: Column, order: Column) -> list[Column]:
+    on = F.col(OP) != "delete"
+    last = F.when(on & _sets(path), order)
+    if not isinstance(kind, T.StructType):
+        return [F.max_by(F.struct(value.alias("v"), order.alias("at")), last).alias(_name(path))]
+    out = [F.max_by(F.struct(value.isNull().alias("null"), order.alias("at")), last).alias(_name(path))]
+    for f in kind.fields:
+        out += _aggs((*path, f.name), f.dataType, value.getField(f.name), order)
+    return out
+
+
+def _after(path: tuple, kind: T.DataType, old: Column, counts) -> tuple[Column, Column]:
+    """A value after the fold, and the place of the last change that set some of it; ``counts`` tells whether a place does."""
+    new = F.col(f"`{_name(path)}`")
+    on = F.coalesce(new.isNotNull() & counts(new["at"]), F.lit(False))
+    if not isinstance(kind, T.StructType):
+        return F.when(on, new["v"]).otherwise(old), F.when(on, new["at"])
+    members = [_after((*path, f.name), f.dataType, old.getField(f.name), counts) for f in kind.fields]
+    inside = F.array_max(F.array(*[at for _, at in members]))
+    # set as a whole to null and no member after that, or null before and no member at all
+    null = F.when(on, new["null"] & ~F.coalesce(inside > new["at"], F.lit(False))).otherwise(old.isNull() & inside.isNull())
+    value = F.when(~null, F.struct(*[v.alias(f.name) for (v, _), f in zip(members, kind.fields, strict=True)]))
+    return value, F.array_max(F.array(F.when(on, new["at"]), inside))
+
+
+def _numbered(parts) -> tuple[DataFrame, Column]:
+    """The changes of several changesets and their order: each after the one before it."""
+    if len(parts) == 1:
+        return parts[0], F.col(SEQ)
     whole = None
     for n, part in enumerate(parts):
         part = part.withColumn("__part", F.lit(n))
         whole = part if whole is None else whole.unionByName(part)
-    columns = [c for c in parts[0].columns if c not in (SEQ, OP, FIELDS)]
-    order = F.struct("__part", SEQ)
-    own = Window.partitionBy(id_column)
-    marked = whole.withColumn("__deleted", F.max(F.when(F.col(OP) == "delete", order)).over(own))
-    counts = (F.col(OP) != "delete") & (F.col("__deleted").isNull() | (order > F.col("__deleted")))
-    marked = marked.withColumn("__counts", counts)
-    aggs = [
-        F.max(F.col("__deleted").isNotNull()).alias("__gone"),
-        F.max("__counts").alias("__alive"),
-        F.max(F.col("__counts") & (F.col(OP) == "insert")).alias("__inserted"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("__counts"), F.col(FIELDS)))))).alias(FIELDS),
-        F.max(SEQ).alias(SEQ),
-    ]
-    for c in columns:
-        if c != id_column:
-            aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col("__counts") & F.array_contains(FIELDS, c), order)).alias(f"__new_{c}"))
-    folded = marked.groupBy(id_column).agg(*aggs)
-    op = F.when(~F.col("__alive"), "delete").when(F.col("__inserted") | F.col("__gone"), "insert").otherwise("update")
-    back = F.col("__gone") & F.col("__alive")  # nothing of what it was before the delete may show through
-    fields = F.when(back, F.array(*[F.lit(c) for c in columns])).otherwise(F.col(FIELDS))
-    return folded.select(SEQ, op.alias(OP), fields.alias(FIELDS), *[F.col(c) if c == id_column else F.col(f"__new_{c}")["v"].alias(c) for c in columns])
+    return whole, F.struct("__part", SEQ)
+
+
+def _starts(whole: DataFrame, place: Column, id_column: str) -> DataFrame:
+    """``__start_id, __start``: each entity's first insert after its last delete."""
+    gone = whole.where(F.col(OP) == "delete").groupBy(F.col(id_column).alias("__gone_id")).agg(F.max(place).alias("__gone"))
+    inserts = whole.where(F.col(OP) == "insert").select(F.col(id_column).alias("__start_id"), place.alias("__at"))
+    back = inserts.join(gone, F.col("__start_id") == F.col("__gone_id"), "left").where(F.col("__gone").isNull() | (F.col("__at") > F.col("__gone")))
+    return back.groupBy("__start_id").agg(F.min("__at").alias("__start"))
+
+
+def overlay(base: DataFrame, *parts: DataFrame, id_column: str = "id", order: Column | None = None) -> DataFrame:
+    """The collection after changesets, each in the order of ``seq`` and after the one before it.
+
+    An insert of an entity that is there merges into it, an update of one that
+    isn't does nothing, and a delete forgets what came before it. Records are merged by their
+    members. Changes are aggregated by entity, so one that changes often is never
+    gathered, and meet the collection in one join.
+    """
+    whole, place = _numbered(parts)
+    place = place if order is None else order
+    own = F.col(id_column).alias("__id")
+    kinds = {c: base.schema[c].dataType for c in base.columns if c != id_column}
+    aggs = [a for c, kind in kinds.items() for a in _aggs((c,), kind, F.col(f"`{c}`"), place)]
+    last = F.max(F.when(F.col(OP) != "delete", place)).alias("__last")
+    deleted = F.max(F.when(F.col(OP) == "delete", place)).alias("__deleted")
+    folded = whole.groupBy(own).agg(deleted, last, *aggs)
+    starts = _starts(whole, place, id_column)
+    known = folded.join(starts, F.col("__id") == F.col("__start_id"), "left")
+    joined = base.join(known, F.col(id_column) == F.col("__id"), "full_outer")
+    was = F.col(id_column).isNotNull()
+    stays = was & F.col("__deleted").isNull()
+    # of an entity that was there and wasn't deleted every change counts, else those from its insert on
+    counts = lambda at: F.when(stays, F.lit(True)).otherwise(F.coalesce(at >= F.col("__start"), F.lit(False)))
+    alive = stays | F.coalesce(F.col("__last").isNotNull() & F.col("__start").isNotNull() & (F.col("__last") >= F.col("__start")), F.lit(False))
+    out = [F.coalesce(F.col(id_column), F.col("__id")).alias(c) if c == id_column else _after((c,), kinds[c], F.when(stays, F.col(f"`{c}`")), counts)[0].alias(c) for c in base.columns]
+    return joined.where(alive).select(*out)
+
+
+def merge_changes(*parts: DataFrame, id_column: str = "id") -> DataFrame:
+    """Changesets, each after the one before it, as one: an entity's delete where no insert follows its last one, else its merged patch.
+
+    After a delete the patch is an insert of all columns. Patches before an
+    entity's insert matter only where it is there already, so they stay a row of
+    their own: an update before the insert.
+    """
+    whole, place = _numbered(parts)
+    kinds = {c: parts[0].schema[c].dataType for c in parts[0].columns if c not in (SEQ, OP, FIELDS, id_column)}
+    names = sorted(".".join(p) for c, kind in kinds.items() for p in _paths((c,), kind)) + [id_column]
+    at = lambda n: F.max(F.when((F.col(OP) != "delete") & F.array_contains(FIELDS, n), place)).alias(f"__at_{n}")
+    aggs = [F.max(F.when(F.col(OP) == "delete", place)).alias("__deleted"), F.max(F.when(F.col(OP) != "delete", place)).alias("__last"), F.max(SEQ).alias(SEQ), *map(at, names)]
+    aggs += [a for c, kind in kinds.items() for a in _aggs((c,), kind, F.col(f"`{c}`"), place)]
+    folded = whole.groupBy(F.col(id_column).alias("__id")).agg(*aggs)
+    known = folded.join(_starts(whole, place, id_column), F.col("__id") == F.col("__start_id"), "left")
+    start, gone = F.col("__start"), F.col("__deleted").isNotNull()
+    early = lambda x: F.coalesce(start.isNull() | (x < start), F.lit(False))
+    late = lambda x: F.coalesce(x >= start, F.lit(False))
+
+    def row(op: str, seq: Column, counts, fields: Column) -> Column:
+        values = {c: _after((c,), kind, F.lit(None).cast(kind), counts)[0] for c, kind in kinds.items()}
+        return F.struct(seq.alias(SEQ), F.lit(op).alias(OP), fields.alias(FIELDS), *[values.get(c, F.col("__id")).alias(c) for c in parts[0].columns if c not in (SEQ, OP, FIELDS)])
+
+    named = lambda counts: F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"`__at_{n}`").isNotNull() & counts(F.col(f"`__at_{n}`")), F.lit(n)) for n in names])))
+    every = F.array(*[F.lit(c) for c in [*kinds, id_column]])  # nothing of what an entity was before its delete may show through
+    found = F.array(
+        F.when(gone & start.isNull(), row("delete", F.col(SEQ), lambda x: F.lit(False), F.array().cast("array<string>"))),
+        F.when(~gone & (start.isNull() | (F.size(named(early)) > 0)), row("update", F.col(SEQ) - 1, early, named(early))),
+        F.when(start.isNotNull(), row("insert", F.col(SEQ), late, F.when(gone, every).otherwise(named(late)))),
+    )
+    return known.select(F.explode(F.array_compact(found)).alias("r")).select("r.*")
+
+
+def _paths(path: tuple, kind: T.DataType) -> list[tuple]:
+    """A column's path and those of all its members."""
+    return [path, *(p for f in (kind.fields if isinstance(kind, T.StructType) else ()) for p in _paths((*path, f.name), f.dataType))]
+
+
+def effective(before: DataFrame, changes: DataFrame, id_column: str = "id") -> DataFrame:
+    """A changeset without what it wouldn't change: ``fields`` names only columns that get another value.
+
+    Updates that change nothing, and deletes and updates of entities that aren't there, are left out.
+    """
+    merged = merge_changes(changes, id_column=id_column)
+    ids = merged.select(id_column)
+    was = before.join(ids, id_column, "left_semi")
+    found = diff(was, overlay(was, merged, id_column=id_column), id_column)
+    kept = merged.join(found.withColumnRenamed(OP, "__op").withColumnRenamed("changed", "__changed"), id_column)
+    names = F.when(F.col("__op") == "update", F.array_intersect(F.transform(FIELDS, lambda f: F.split_part(f, F.lit("."), F.lit(1))), "__changed")).otherwise(F.col(FIELDS))
+    paths = F.when(F.col("__op") == "update", F.filter(FIELDS, lambda f: F.array_contains(names, F.split_part(f, F.lit("."), F.lit(1))))).otherwise(F.col(FIELDS))
+    op = F.when(F.col("__op") == "insert", F.col(OP)).otherwise(F.col("__op"))
+    return kept.select(SEQ, op.alias(OP), F.when(F.col("__op") == "delete", F.array().cast("array<string>")).otherwise(paths).alias(FIELDS), *[c for c in merged.columns if c not in (SEQ, OP, FIELDS)])
 
 
 def diff(before: DataFrame, after: DataFrame, id_column: str = "id") -> DataFrame:
@@ -133,18 +209,9 @@ def set_assignment(old: Column, members: Column) -> Column:
     return F.map_from_entries(F.concat(there, gone))
 
 
-def merge_record(old: Column, patch: Column, kind: T.StructType) -> Column:
-    """A record after a partial patch: members that the patch leaves null stay."""
-    parts = []
-    for f in kind.fields:
-        o, n = old.getField(f.name), patch.getField(f.name)
-        parts.append((merge_record(o, n, f.dataType) if isinstance(f.dataType, T.StructType) else F.coalesce(n, o)).alias(f.name))
-    return F.when(old.isNotNull() | patch.isNotNull(), F.struct(*parts))
-
-
 def outbox_overlay(confirmed: DataFrame, *buffers: DataFrame, id_column: str = "id") -> DataFrame:
     """The confirmed store with unsent writes over it, the buffers in order."""
-    return overlay(confirmed, merge_changes(*buffers, id_column=id_column), id_column)
+    return overlay(confirmed, *buffers, id_column=id_column)
 
 
 # -- last writer wins -------------------------------------------------------
@@ -172,8 +239,7 @@ def apply_stamped(base: DataFrame, stamps: DataFrame, changes: DataFrame, id_col
     held = stamps.select(F.col(id_column).alias("__sid"), F.col("stamp").alias("__held"))
     known = changes.join(held, F.col(id_column) == F.col("__sid"), "left")
     fresh = known.where(F.col("__held").isNull() | (F.col("stamp") > F.col("__held"))).drop("__sid", "__held")
-    order = F.row_number().over(Window.partitionBy(id_column).orderBy("stamp", SEQ))
-    after = overlay(base, fresh.withColumn(SEQ, order.cast("long")).drop("stamp"), id_column)
+    after = overlay(base, fresh, id_column=id_column, order=F.struct("stamp", SEQ))
     newest = stamps.select(id_column, "stamp").unionByName(fresh.select(id_column, "stamp")).groupBy(id_column).agg(F.max("stamp").alias("stamp"))
     return after, newest
 

@@ -293,8 +293,11 @@ class Compiler:
         if limit is not None and not names:  # one result for all parents
             child.df = child.df.orderBy(*self._sort_keys(child, query)).limit(limit)
         rank = _fresh("rank")
+        id_column = self.ctx.id_of(child.collection)
+        by_key = limit is None and not by_id and not query.ordering and self.ctx.is_keyed(child.collection)
         partition = Window.partitionBy(*[F.col(n) for n in names]) if names else Window.partitionBy(F.lit(0))
-        place = F.lit(1) if by_id else F.row_number().over(partition.orderBy(*self._sort_keys(child, query)))
+        # in the order of ids the array is sorted by them when it is there; another order or a limit ranks the rows
+        place = F.lit(1) if by_id else child.column(id_column, self.ctx) if by_key else F.row_number().over(partition.orderBy(*self._sort_keys(child, query)))
         child.df = child.df.withColumn(rank, place)
         if limit is not None:
             child.df = child.df.where(F.col(rank) <= limit)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import errors
 from ..schema import OPERATORS, Relationship, Schema, match_role
-from .ast import Cond, Exists, Filter, Group, Include, Query, RelationExists, Var, flat_filters, map_conditions, merged, normalize, shifted, simplified
+from .ast import FLIPPED, Cond, Exists, Filter, Group, Include, Query, RelationExists, Var, flat_filters, map_conditions, merged, normalize, shifted, simplified
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,12 @@ class Context:
     skip_rules: bool = True
     #: Collections whose permission is being filled in.
     inside: tuple[str, ...] = ()
+    #: Collections of the queries around the one that is prepared, the nearest last.
+    above: tuple[str, ...] = ()
+
+    def below(self, collection: str) -> Context:
+        """The context of a subquery of a query over a collection."""
+        return replace(self, above=(*self.above, collection))
 
     def id_of(self, collection: str) -> str:
         found = self.schema.collections.get(collection)
@@ -144,7 +150,7 @@ def _filter(name: str, f: Filter, ctx: Context) -> Filter:
     if isinstance(f, Group):
         return replace(f, filters=tuple(_filter(name, x, ctx) for x in f.filters))
     if isinstance(f, Exists):
-        inner = prepare(replace(f.query, selected=None, ordering=(), limit=None, cursor=None, includes=()), ctx)
+        inner = prepare(replace(f.query, selected=None, ordering=(), limit=None, cursor=None, includes=()), ctx.below(name))
         return Exists(inner)
     if isinstance(f, RelationExists):
         head, _, rest = f.path.partition(".")
@@ -169,6 +175,8 @@ def _condition(name: str, f: Cond, ctx: Context) -> Filter:
     except KeyError:
         raise errors.InvalidFilterError(f"no attribute {f.path!r} in {name!r}") from None
     value = f.value
+    if isinstance(value, Var) and isinstance(value.scope, int) and (turned := _turned(name, f, value, ctx)) is not None:
+        return _filter(name, turned, ctx)
     if isinstance(value, Var) and not isinstance(value.scope, int):
         value = lookup(ctx.variables.get(value.scope, {}), value.path)
         if isinstance(value, (list, set)):
@@ -181,6 +189,22 @@ def _condition(name: str, f: Cond, ctx: Context) -> Filter:
     return Cond(f.path, f.op, value)
 
 
+def _turned(name: str, f: Cond, value: Var, ctx: Context) -> Filter | None:
+    """A condition whose value is a path through an ancestor's relationship, as an exists filter that compares the other way round."""
+    ancestor = ctx.above[-value.scope] if value.scope <= len(ctx.above) else None
+    head, _, rest = value.path.partition(".")
+    relation = ctx.relationship(ancestor, head) if ancestor is not None else None
+    if relation is None:
+        return None
+    if not rest:
+        raise errors.InvalidFilterError(f"{value.path!r} is a relationship, not a value")
+    if f.op not in FLIPPED:
+        raise errors.InvalidFilterError(f"{f.op!r} can't be compared with a path through a relationship")
+    # the relationship's own variables read the ancestor, which stands that many levels above this query
+    inner = shifted(relation.query.filters, value.scope)
+    return Exists(replace(relation.query, filters=(*inner, Cond(rest, FLIPPED[f.op], Var(1, f.path)))))
+
+
 def _include(name: str, alias: str, item: Include, ctx: Context) -> Include:
     query, cardinality = item.query, item.cardinality or "many"
     if item.relation is not None:
@@ -192,7 +216,7 @@ def _include(name: str, alias: str, item: Include, ctx: Context) -> Include:
         raise errors.InvalidIncludeError(f"no cardinality {cardinality!r}")
     if alias in ctx.types(name).names:
         raise errors.InvalidIncludeError(f"{alias!r} is an attribute of {name!r}")
-    return Include(None, prepare(query, ctx), cardinality)
+    return Include(None, prepare(query, ctx.below(name)), cardinality)
 
 
 #: Aliases of hidden includes that an order by relationships reads.
@@ -217,7 +241,7 @@ def _order(query: Query, ctx: Context) -> Query:
             raise errors.InvalidOrderClauseError(f"a {kind} has no order: {path!r}")
         if chain:
             alias = HIDDEN + str(len(hidden))
-            hidden[alias] = _chain(chain, last, ctx)
+            hidden[alias] = _chain(chain, last, ctx.below(query.collection))
             path = ".".join([alias, *(n for n, _ in chain[1:]), last])
         ordering.append((path, direction))
     return replace(query, ordering=tuple(ordering), includes=query.includes + tuple(hidden.items()))
@@ -228,7 +252,7 @@ def _chain(chain: list, last: str, ctx: Context) -> Include:
     query = relation.query.select(last.split(".")[0]) if not rest else relation.query.select(ctx.id_of(relation.query.collection))
     prepared = prepare(query, ctx)
     if rest:
-        prepared = replace(prepared, includes=((rest[0][0], _chain(rest, last, ctx)),))
+        prepared = replace(prepared, includes=((rest[0][0], _chain(rest, last, ctx.below(query.collection))),))
     return Include(None, prepared, "one")
 
 

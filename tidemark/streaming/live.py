@@ -1,13 +1,16 @@
 """Live queries.
 
-A batch of changes updates a result without reading what it doesn't touch:
-changed rows leave the result and those that match come back; with a limit, rows
-that left are replaced by a read of the collection. Results with includes are
-computed anew for the parents that a changed row belongs to. What these rules
-don't cover is fetched whole. The law is that the kept result equals a fetch.
-
-As a stream, batches come from a Structured Streaming source; the state is a
-folder per batch, so a batch that runs twice writes the same folder again.
+A view keeps its result written. A batch of changes updates it without computing
+what it doesn't touch: entities that changed leave the result, the collection is
+reduced to them before it meets the changes, and those that match come back. With
+a limit the collection is read again only where fewer candidates than the limit
+are known to come first. With includes and existence filters the parents that a
+changed row belonged or belongs to are computed anew. What these rules don't
+cover is fetched whole. The law is that the kept result equals a fetch.
+
+As a stream, batches come from a Structured Streaming source; results and
+changesets are folders per batch, so a batch that runs twice writes the same
+folders again, and those that no later batch reads are deleted.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..db import Database
+from ..errors import TidemarkError
 from ..operators import changes as C
 from ..plans.ast import Cond, Exists, Group, Query, Var, flat_filters, identity
-from ..plans.compile import Compiler
+from ..plans.compile import Compiler, scan
 from ..plans.prepare import HIDDEN, collections_of
+from ..sources import held as H
 
 
 def touched(db: Database, query: Query, collections: set[str]) -> bool:
@@ -36,15 +41,24 @@ def _flat(prepared: Query) -> bool:
 
 @dataclass(frozen=True)
 class View:
-    """A query with its result before projection: whole rows, so that changes can be applied."""
+    """A query with its result before projection: whole rows, so that changes can be applied.
+
+    ``rows`` are written to ``path``, so a plan never begins before them.
+    """
 
     db: Database
     query: Query
     rows: DataFrame
+    path: str | None = None
 
     @classmethod
     def open(cls, db: Database, query: Query) -> View:
-        return cls(db, query, db.fetch(query.select()))
+        return cls(db, query, *H.held(db.fetch(query.select()), "view"))
+
+    def close(self) -> None:
+        """Delete what is kept of the result."""
+        if self.path is not None:
+            H.drop(self.rows.sparkSession, self.path)
 
     def result(self) -> DataFrame:
         """The result with the query's projection and order."""
@@ -61,68 +75,65 @@ class View:
         return rows
 
     def apply(self, changes: dict[str, DataFrame]) -> View:
-        """The view after changes by collection (see ``operators.changes``)."""
-        db = self.db
-        ctx = db.context()
-        prepared = db.prepared(self.query.select())
-        after = db.with_collections(**{name: C.overlay(db.catalog.frame(name), part, ctx.id_of(name)) for name, part in changes.items()})
+        """The view after changes by collection (see ``operators.changes``). The one before can still be read, until it is closed."""
+        after = self.db.apply_changes(changes)
+        prepared = self.db.prepared(self.query.select())
         if not collections_of(prepared) & changes.keys():
             return replace(self, db=after)
         if _flat(prepared):
-            return replace(self, db=after, rows=self._update_flat(after, prepared, changes[prepared.collection]))
-        if self._simple_includes(prepared):
-            return replace(self, db=after, rows=self._update_includes(after, prepared, changes))
-        return replace(self, db=after, rows=after.fetch(self.query.select()))
+            rows = self._update_flat(after, prepared, changes[prepared.collection])
+        elif _one_level(prepared):
+            rows = self._update_parents(after, prepared, changes)
+        else:
+            rows = after.fetch(self.query.select())
+        return View(after, self.query, *H.held(rows, "view"))
 
     def _update_flat(self, after: Database, prepared: Query, part: DataFrame) -> DataFrame:
         ctx = after.context()
         id_column = ctx.id_of(prepared.collection)
         ids = part.select(id_column).distinct()
-        new = after.catalog.frame(prepared.collection).join(ids, id_column, "left_semi")
-        compiler = Compiler(lambda _: new, ctx)
-        come = compiler.compile(replace(prepared, ordering=(), limit=None))
-        kept = self.rows.join(ids, id_column, "left_anti")
-        whole = kept.unionByName(come)
-        if prepared.limit is None:
-            return self._sorted(after, prepared, whole)
-        if prepared.limit and self.rows.count() >= prepared.limit and not self.rows.join(ids, id_column, "left_semi").isEmpty():
-            return after.fetch(self.query.select())  # it was full and may have lost rows: fill up from the collection
+        new = after.catalog.some(prepared.collection, ids, id_column)
+        come = Compiler(lambda _: new, ctx).compile(replace(prepared, ordering=(), limit=None))
+        whole = self.rows.join(ids, id_column, "left_anti").unionByName(come)
+        if prepared.limit and self.rows.count() >= prepared.limit and self._short(after, prepared, whole):
+            return after.fetch(self.query.select())
         return self._sorted(after, prepared, whole)
 
+    def _short(self, after: Database, prepared: Query, whole: DataFrame) -> bool:
+        """Whether fewer rows than the limit come no later than the last one did before; others are to be found in the collection then."""
+        ctx = after.context()
+        back = replace(prepared, filters=(), cursor=None, ordering=tuple((p, "DESC" if d == "ASC" else "ASC") for p, d in prepared.ordering))
+        frame = scan(prepared.collection, self.rows)
+        keys = Compiler(lambda _: self.rows, ctx)._sort_keys(frame, back)[:-1]
+        last = frame.df.orderBy(*keys, frame.column(ctx.id_of(prepared.collection), ctx).desc()).limit(1).select([F.col(f"`{n}`").alias(c) for c, n in frame.columns.items()])
+        marked = scan(prepared.collection, whole.withColumn("__last", F.lit(0)).unionByName(last.withColumn("__last", F.lit(1))))
+        mark = F.col(f"`{marked.columns['__last']}`")
+        first = marked.df.orderBy(*Compiler(lambda _: whole, ctx)._sort_keys(marked, prepared), mark).limit(prepared.limit)
+        return not first.where(mark == 1).isEmpty()
+
     def _sorted(self, after: Database, prepared: Query, rows: DataFrame) -> DataFrame:
         compiler = Compiler(lambda _: rows, after.context())
         return compiler.compile(replace(prepared, filters=(), cursor=None))
 
-    def _simple_includes(self, prepared: Query) -> bool:
-        """One level of includes that read their parent by conditions at their top, no limit, and no other subqueries."""
-        if prepared.limit is not None or any(isinstance(f, Exists) for f in flat_filters(prepared.filters)):
-            return False
-        for alias, item in prepared.includes:
-            q = item.query
-            if alias.startswith(HIDDEN) or q.includes or not any(isinstance(f, Cond) and isinstance(f.value, Var) for f in q.filters):
-                return False
-            if any(isinstance(f, (Exists, Group)) for f in q.filters) or q.collection == prepared.collection:
-                return False
-        return bool(prepared.includes)
-
-    def _update_includes(self, after: Database, prepared: Query, changes: dict[str, DataFrame]) -> DataFrame:
+    def _update_parents(self, after: Database, prepared: Query, changes: dict[str, DataFrame]) -> DataFrame:
         """Parents that changed or that a changed child belonged or belongs to are computed anew."""
         ctx = after.context()
         name = prepared.collection
         id_column = ctx.id_of(name)
         ids = changes[name].select(id_column) if name in changes else None
-        for _, item in prepared.includes:
-            child = item.query.collection
+        for query in _subqueries(prepared):
+            child = query.collection
             if child not in changes:
                 continue
-            moved = changes[child].select(ctx.id_of(child)).distinct()
-            rows = self.db.catalog.frame(child).join(moved, ctx.id_of(child), "left_semi").unionByName(after.catalog.frame(child).join(moved, ctx.id_of(child), "left_semi"))
-            links = tuple(f for f in item.query.filters if isinstance(f, Cond) and isinstance(f.value, Var))
-            probe = replace(prepared, includes=(), ordering=(), selected=(id_column,), filters=(Exists(Query(child, filters=links)),))
+            own = ctx.id_of(child)
+            moved = changes[child].select(own).distinct()
+            rows = self.db.catalog.some(child, moved, own).unionByName(after.catalog.some(child, moved, own))
+            links = tuple(f for f in query.filters if isinstance(f, Cond) and isinstance(f.value, Var))
+            probe = Query(name, selected=(id_column,), filters=(Exists(Query(child, filters=links)),))
             hit = Compiler(lambda n, c=child, r=rows: r if n == c else after.catalog.frame(n), ctx).compile(probe)
             ids = hit if ids is None else ids.unionByName(hit)
         ids = ids.distinct()
-        some = after.catalog.frame(name).join(ids, id_column, "left_semi")
+        some = after.catalog.some(name, ids, id_column)
         fresh = Compiler(lambda n: some if n == name else after.catalog.frame(n), ctx).compile(replace(prepared, ordering=()))
         whole = self.rows.join(ids, id_column, "left_anti").unionByName(fresh)
         if prepared.ordering:
@@ -131,6 +142,23 @@ class View:
         return whole
 
 
+def _subqueries(prepared: Query) -> list[Query]:
+    """The queries of the includes and of the existence filters, those in groups too."""
+    return [item.query for _, item in prepared.includes] + [f.query for f in flat_filters(prepared.filters) if isinstance(f, Exists)]
+
+
+def _one_level(prepared: Query) -> bool:
+    """Whether all subqueries read their parent by conditions at their top and have none of their own, and there is no limit."""
+    if prepared.limit is not None or prepared.cursor is not None or any(alias.startswith(HIDDEN) for alias, _ in prepared.includes):
+        return False
+    for q in _subqueries(prepared):
+        if q.includes or q.collection == prepared.collection or any(isinstance(f, (Exists, Group)) for f in q.filters):
+            return False
+        if not any(isinstance(f, Cond) and isinstance(f.value, Var) for f in q.filters):
+            return False
+    return True
+
+
 class Subscriptions:
     """Live queries over one database.
 
@@ -156,25 +184,51 @@ class Subscriptions:
         def end() -> None:
             self._callbacks[key].remove(callback)
             if not self._callbacks[key]:
-                del self._callbacks[key], self._views[key]
+                del self._callbacks[key]
+                self._views.pop(key).close()
 
         return end
 
+    def subscribe_with_status(self, query: Query, callback: Callable[[DataFrame, str], None]) -> Callable[[], None]:
+        """Like :meth:`subscribe`; the callback hears "loading" with no rows first, then results as "fulfilled" or the reason as "failed: ..."."""
+        rows = self.db.catalog.frame(query.collection).where("false")
+        callback(rows, "loading")
+        try:
+            return self.subscribe(query, lambda df: callback(df, "fulfilled"))
+        except TidemarkError as e:
+            callback(rows, f"failed: {e}")
+            return lambda: None
+
+    def subscribe_background(self, query: Query) -> Callable[[], None]:
+        """Keep a query's result up to date without hearing of it, as others that share it do."""
+        return self.subscribe(query, lambda _: None)
+
     def buffer(self, changes: dict[str, DataFrame]) -> None:
         self._buffer.append(changes)
 
     def update(self) -> None:
-        """Apply what was buffered, in its order, and tell subscribers."""
+        """Apply what was buffered as one changeset for each collection, in its order, and tell subscribers."""
         buffered, self._buffer = self._buffer, []
-        for changes in buffered:
-            self.db = self.db.apply_changes(changes)
-            for key, view in self._views.items():
-                new = view.apply(changes)
-                hit = touched(view.db, view.query, set(changes))
-                self._views[key] = new
-                if hit and not C.diff(view.rows, new.rows, self.db.context().id_of(view.query.collection)).isEmpty():
-                    for callback in list(self._callbacks[key]):
-                        callback(new.result())
+        if not buffered:
+            return
+        id_of = self.db.context().id_of
+        names = list(dict.fromkeys(n for changes in buffered for n in changes))
+        merged = {n: C.merge_changes(*[c[n] for c in buffered if n in c], id_column=id_of(n)) for n in names}
+        before = self.db.apply_changes(merged)
+        self.db = replace(before, catalog=before.catalog.settled())
+        for key, view in list(self._views.items()):
+            new = view.apply(merged)
+            new = replace(new, db=self.db)
+            self._views[key] = new
+            if new.path != view.path:
+                changed = touched(view.db, view.query, set(merged)) and not C.diff(view.rows, new.rows, id_of(view.query.collection)).isEmpty()
+                view.close()
+                for callback in list(self._callbacks[key]) if changed else ():
+                    callback(new.result())
+
+
+#: Batches after which a stream writes its collection as a whole.
+COMPACT = 16
 
 
 def live_query(
@@ -182,26 +236,39 @@ def live_query(
 ):
     """Keep a query up to date from a stream of changes to one collection; gives the running StreamingQuery.
 
-    The collection is written to ``<folder>/<batch>`` after each batch, and the
-    next one starts from it. ``callback`` gets the result and its differences
-    from the one before, where there are any.
+    A batch writes its changes and the query's result below ``folder``; every ``COMPACT`` batches the collection
+    is written as a whole and what came before is deleted, so the folder doesn't grow with the number of batches.
+    ``callback`` gets the result and its differences from the one before, where there are any.
     """
     spark = changes.sparkSession
     id_column = db.context().id_of(collection)
+    kind = db.catalog.types(collection)
 
     def at(batch: int) -> Database:
-        if batch < 0:
-            return db
-        return db.with_collections(**{collection: spark.read.schema(db.catalog.types(collection)).parquet(f"{folder}/{batch}")})
+        """The database after a batch: the last whole collection, and the changes since."""
+        start = batch - (batch + 1) % COMPACT  # the batch that the last whole collection is of
+        base = db if start < 0 else db.with_collections(**{collection: spark.read.schema(kind).parquet(f"{folder}/whole-{start}")})
+        for n in range(max(start, -1) + 1, batch + 1):
+            base = base.apply_changes({collection: spark.read.schema(changes.schema).parquet(f"{folder}/changes-{n}")})
+        return base
 
     def step(part: DataFrame, batch: int) -> None:
-        view = View.open(at(batch - 1), query)
+        before = at(batch - 1)
+        rows = db.fetch(query.select()) if batch == 0 else None
+        kept = H.written(rows, f"{folder}/rows--1") if rows is not None else spark.read.schema(before.fetch(query.select()).schema).parquet(f"{folder}/rows-{batch - 1}")
+        view = View(before, query, kept)
+        part = H.written(part, f"{folder}/changes-{batch}")
         new = view.apply({collection: part})
-        new.db.catalog.frame(collection).write.mode("overwrite").parquet(f"{folder}/{batch}")
+        rows = H.written(new.rows, f"{folder}/rows-{batch}")
+        new.close()
+        new = View(new.db, query, rows)
+        if (batch + 1) % COMPACT == 0:
+            H.written(new.db.catalog.frame(collection), f"{folder}/whole-{batch}")
         if callback is not None:
-            changed = C.diff(view.rows, new.rows, id_column)
+            changed = C.diff(view.rows, rows, id_column)
             if not changed.isEmpty():
                 callback(new.result(), changed)
+        _forget(spark, folder, batch)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     for k, v in options.items():
@@ -209,6 +276,17 @@ def live_query(
     return writer.start()
 
 
+def _forget(spark: SparkSession, folder: str, batch: int) -> None:
+    """Delete what neither a later batch nor this one, should it run again, reads."""
+    before = batch - 1
+    start = before - (before + 1) % COMPACT
+    for n in range(max(start - COMPACT, -1), max(start, -1) + 1):
+        H.drop(spark, f"{folder}/changes-{n}")
+        if n < start:
+            H.drop(spark, f"{folder}/whole-{n}")
+    H.drop(spark, f"{folder}/rows-{batch - 2}")
+
+
 @dataclass(frozen=True)
 class Page:
     rows: DataFrame
