@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from helpers import PAGES, clash, empty
 
@@ -18,6 +20,13 @@ CASES = {
     "wrapper": (f'<div class="has sidebar"><article><p>{LONG}</p></article><aside><p>{LONG}</p></aside></div>', LONG),
     "short": ("<nav>n</nav><div class=ad>buy this, now.</div><article><h1>Hi.</h1><p><b>Hi.<br></article>", "Hi.\nHi."),
     "none": ("<nav>x</nav><footer>y</footer>", ""),
+    "form": (f'<body><form id="aspnetForm" action=x><div class="top menu">m</div><div class="content"><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><input type=hidden></form><footer>f</footer>', f"T\n{LONG}\n{LONG}"),
+    "form around an article": (f"<form><nav>n</nav><article><p>{LONG}</p></article><select><option>o</select></form>", LONG),
+    "form beside": (f"<article><p>{LONG}</p></article><form><p>{LONG} {LONG}</p><input></form>", LONG),
+    "header": (f"<article><header><h1>T</h1><p class=byline>By One, today</p><time>now</time></header><p>{LONG}</p><footer>by</footer></article>", f"T\n{LONG}"),
+    "open header": (f"<article><header><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article>", f"T\n{LONG}\n{LONG}"),
+    "less than": (f"<article><p>{LONG}</p><p>{LONG} x <y and z", f"{LONG}\n{LONG} x <y and z"),
+    "short ones beside": (f'<div id=c><div class="content"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><p>The end.</p></div>', f"{LONG}\n{LONG}\n{LONG}\nThe end."),
     "bad": ("</p></div><<>< & &bogus; <p", "<<>< & &bogus;"),
 }
 
@@ -64,6 +73,13 @@ def test_deep_and_long():
     assert len(html.main_text("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>")) == 20_000 * (len(LONG) + 1) - 1
 
 
+def test_time_is_linear_in_depth():
+    start = time.process_time()
+    for tags in ("<div>", "<div><span>", "<p><b>", "<ul><li>", "<table><tr><td>", "<div></i></a></p>", "<header><form>"):
+        html.main_text("<article>" + tags * 20_000 + f"<p>{LONG}</p>")
+    assert time.process_time() - start < 20
+
+
 def test_extract(spark):
     rows = [(i, f"http://h/{i}", page) for i, (page, _) in enumerate(CASES.values())] + [(50, None, None), (51, "u", ""), (51, "u", ""), (None, "u", "<p>x</p>")]
     df = clash(spark.createDataFrame(rows, PAGES))

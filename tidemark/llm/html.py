@@ -4,12 +4,15 @@ Paragraphs pass points for their length and commas to their ancestors, which
 keep less of them the farther away they are and the more of their text stands in
 links. The container with most points is the article, or the <article> or <main> around
 it, which is kept whole; siblings that score well or are plain prose are kept with it. Menus, adverts, comments and the like are
-taken out of the tree before, by their elements and by words in their names.
+taken out of the tree before, by their elements and by words in their names. Of a
+header inside an article only the headings stay; a form that the whole page or
+its article stands in is a wrapper and stays.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,8 +40,12 @@ UNWANTED = re.compile(
 )
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-]|\d)", re.I)
 SPACE = re.compile(r"\s+")
-#: A tag or comment that the page's end cuts off.
-CUT = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+ELEMENTS = SKIPPED | IN_HEAD | VOID | BLOCKS | INLINE | frozenset("body fieldset legend optgroup option picture frame frameset slot".split())
+#: What the page's end cuts off: a tag or comment, or a text with a less-than sign.
+CUT = re.compile(r"<(?:[!?/][^<>]*|([a-zA-Z][a-zA-Z0-9-]*)[^<>]*)?\Z")
+#: An end tag inside one of these doesn't close what is open outside of it, unless it is of a block.
+BARRIERS = frozenset("td table article nav footer aside main form".split())
 #: Ancestors that a paragraph passes points to.
 LEVELS = 4
 
@@ -57,6 +64,27 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
+        #: How many elements are open, by name: in all, and since each open barrier.
+        self.open, self.inner = Counter(), [Counter()]
+
+    def _enter(self, node):
+        self.at = node
+        self.open[node.name] += 1
+        if node.name in BARRIERS:
+            self.inner.append(Counter())
+        self.inner[-1][node.name] += 1
+
+    def _leave(self, upto):
+        """Close elements up to and with the given one."""
+        while True:
+            node = self.at
+            self.at = node.parent
+            self.open[node.name] -= 1
+            self.inner[-1][node.name] -= 1
+            if node.name in BARRIERS:
+                self.inner.pop()
+            if node is upto:
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD:
@@ -73,7 +101,7 @@ class _Tree(HTMLParser):
         node = Node(tag, names, self.at, self._unwanted(tag, names, held))
         self.at.children.append(node)
         if tag not in VOID:
-            self.at = node
+            self._enter(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -83,9 +111,8 @@ class _Tree(HTMLParser):
     def _unwanted(self, tag, names, held):
         if tag in SKIPPED or "hidden" in held or (held.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", held.get("style") or "", re.I):
             return True
-        inside = any(n.name in ("article", "main") for n in self._open())
         if tag == "header":
-            return not inside
+            return not (self.open["article"] or self.open["main"])
         return tag not in ("article", "main", "body", "p") and tag not in HEADINGS and bool(UNWANTED.search(names)) or tag == "p" and bool(UNWANTED.search(names))
 
     def _open(self):
@@ -95,28 +122,34 @@ class _Tree(HTMLParser):
             node = node.parent
 
     def _close_upto(self, names, stop):
+        if not any(self.open[n] for n in names):
+            return
         for node in self._open():
             if node.name in names:
-                self.at = node.parent
+                self._leave(node)
                 return
             if node.name in stop or node.parent is None:
                 return
 
     def _close_head(self):
         """A head ends where something comes that can't stand in it; templates and the like can hold anything."""
+        if not self.open["head"]:
+            return
         for node in self._open():
             if node.name in ("template", "noscript"):
                 return
             if node.name == "head":
-                self.at = node.parent
+                self._leave(node)
                 return
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
+        if tag not in BLOCKS and tag not in SKIPPED and not self.inner[-1][tag]:
+            return
         for node in self._open():
-            if node.name == tag and node.parent is not None:
-                self.at = node.parent
-                return
-            if node.name in ("td", "table", "article", "nav", "footer", "aside", "main", "form") and tag not in BLOCKS and tag not in SKIPPED:
+            if node.name == tag:
+                self._leave(node)
                 return
 
     def handle_data(self, data):
@@ -128,6 +161,8 @@ class _Tree(HTMLParser):
 def parse(page: str) -> Node:
     tree = _Tree()
     cut = CUT.search(page, max(0, page.rfind("<")))
+    if cut and cut[1] and cut[1].lower() not in ELEMENTS:
+        page, cut = f"{page[: cut.start()]}&lt;{page[cut.start() + 1 :]}", None  # no tag: a less-than sign in the text
     tree.feed(page[: cut.start()] if cut else page)
     tree.close()
     _unhide(tree.root)
@@ -135,19 +170,42 @@ def parse(page: str) -> Node:
 
 
 def _unhide(root: Node) -> None:
-    """A wrapper of the whole article is kept, whatever its names say."""
+    """A wrapper of the whole article is kept, whatever its names say.
+
+    So is a form or a header that most of the page's prose stands in; of other headers only the headings stay.
+    """
     stack, order = [root], []
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
-    holds = set()
+    holds, prose, wraps = set(), {}, {}
     for node in reversed(order):
         if node.name in ("article", "main") or node in holds:
-            if node in holds and node.hidden and node.name in ("div", "section", "span"):
+            if node in holds and node.hidden and node.name in ("div", "section", "span", "form", "header"):
                 node.hidden = False
             if node.parent is not None and not node.hidden:
                 holds.add(node.parent)
+        # characters of paragraphs, those in forms too
+        inner = sum(prose.pop(id(c), 0) for c in node.children if isinstance(c, Node))
+        inner += sum(len(c) for c in node.children if isinstance(c, str)) if node.name in PARAGRAPHS else 0
+        prose[id(node)] = 0 if node.hidden and node.name != "form" or node.name == "a" else inner
+        if node.name in ("form", "header"):
+            wraps[node] = inner
+    for node in reversed(wraps):
+        wrapper = 2 * wraps[node] > prose[id(root)]
+        if node.name == "form" and node.hidden and wrapper and root not in holds:
+            node.hidden = False
+        if node.name == "header" and not node.hidden and not wrapper:
+            _headings_only(node)
+
+
+def _headings_only(header: Node) -> None:
+    stack = [header]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, Node)]
+        stack.extend(c for c in node.children if c.name not in HEADINGS)
 
 
 def _walk(root: Node):
