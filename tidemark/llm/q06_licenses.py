@@ -1,8 +1,8 @@
 """op6_licenses: licenses of all documents.
 
-The table has no paths, so each document gets one: it lies below its source and
-language in a folder of a thousand keys. A short document that speaks of a
-license is taken as the license file of that folder or of one above it.
+The table has no paths, so each document gets one from its keys alone: it lies
+below its source and language in a folder of a thousand keys. Every tenth is a
+notice file, of its folder or of one of the two above it.
 """
 
 from __future__ import annotations
@@ -12,17 +12,13 @@ from pyspark.sql import functions as F
 
 from . import common, licenses
 
-#: Characters of a document that can be a license file.
-SHORT = 400
-
 
 def paths() -> Column:
-    text, source, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "source", "lang"))
-    folder = F.floor(F.col("doc_id") / 1000).cast("string")
-    short = (F.length(text) <= SHORT) & text.rlike(licenses.CUE)
-    level = F.pmod(F.col("doc_id"), F.lit(3))
-    above = F.when(level == 0, F.concat_ws("/", F.lit(""), source, lang, folder)).when(level == 1, F.concat_ws("/", F.lit(""), source, lang)).otherwise(F.concat_ws("/", F.lit(""), source))
-    return F.when(short, F.concat(above, F.lit("/LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat_ws("/", F.lit(""), source, lang, folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    source, lang = (F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang"))
+    key, folder = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 1000).cast("string")
+    own, level = F.concat_ws("/", F.lit(""), source, lang, folder), F.pmod(F.col("doc_id"), F.lit(30))
+    above = F.when(level == 0, own).when(level == 10, F.concat_ws("/", F.lit(""), source, lang)).when(level == 20, F.concat_ws("/", F.lit(""), source))
+    return F.when(above.isNotNull(), F.concat(above, F.lit("/NOTICE."), key)).otherwise(F.concat(own, F.lit("/"), key, F.lit(".txt")))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
