@@ -68,9 +68,18 @@ def test_best_fit(spark):
 
 
 def test_sequences(spark):
-    df = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(1 + i * 3))) for i in range(20)], "doc_id long, text string")
-    placed = packing.best_fit(df, common.word_count(F.col("text")), lengths=(8, 32))
-    out = packing.sequences(df, placed).collect()
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(1 + i * 3))) for i in range(20)]
+    rows += [(3, "another text of key three"), (None, "no key"), (None, "none again"), (5, rows[5][1]), (6, None), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash"))
+    out = packing.sequences(df, lengths=(8, 32)).collect()
     words = [w for r in out for w in r["text"].split(" ")]
-    assert sorted(words) == sorted(w for r in df.collect() for w in r["text"].split(" "))
+    assert sorted(words) == sorted(w for _, t in rows for w in (t or "").split())
     assert all(len(r["text"].split(" ")) == r["n_tokens"] <= r["bin_tokens"] for r in out)
+    assert {i for r in out for i in r["doc_ids"]} == {i for i, t in rows if (t or "").split()}
+    assert packing.sequences(empty(df)).count() == 0
+
+
+def test_copies_of_one_row_are_spread(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(900))))
+    got = packing.best_fit(df, common.word_count(F.col("text")), lengths=(4, 32), group=100).collect()
+    assert len(got) == 900 and len({r["bin_id"] >> 32 for r in got}) > 5

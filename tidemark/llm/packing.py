@@ -86,11 +86,12 @@ def best_fit(docs: DataFrame, size: Column, lengths=LENGTHS, cost: Cost | None =
     """``doc_id, piece, start, n_tokens, bin_id, bin_tokens, bin_offset`` for every piece of every document.
 
     A document without tokens (null, empty) has one piece of size 0 and no bin.
-    Equal sizes go by key and piece, so reruns agree; repeated rows are packed
-    as often as they come. An empty table gives no rows. Other columns are ignored.
+    Equal sizes go by key and piece, so reruns agree; repeated rows are counted, and then packed
+    as often as they come, spread over the groups. An empty table gives no rows. Other columns are ignored.
     """
     longest = max(lengths)
-    cut = common.materialize(pieces(docs, size, longest, key), "pieces")
+    counted = pieces(docs, size, longest, key).groupBy("doc_id", "piece", "start", "n_tokens").agg(F.count("*").alias("times"))
+    cut = common.materialize(common.repeated(counted, F.col("times"), "copy").drop("times"), "pieces")
     groups = max(1, -(-cut.count() // group))
     kind = cut.schema["doc_id"].dataType.simpleString()
 
@@ -105,19 +106,25 @@ def best_fit(docs: DataFrame, size: Column, lengths=LENGTHS, cost: Cost | None =
 
     schema = f"doc_id {kind}, piece long, start long, n_tokens long, bin_id long, bin_tokens int, bin_offset int"
     some, none = cut.where("n_tokens > 0"), cut.where("n_tokens <= 0")
-    dealt = some.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(groups)))
+    dealt = some.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "copy"), F.lit(groups))).drop("copy")
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("bin_id", "long"), ("bin_tokens", "int"), ("bin_offset", "int"))]
     return dealt.groupBy("part").applyInArrow(run, schema).unionByName(none.select("doc_id", "piece", "start", "n_tokens", *blank))
 
 
-def sequences(docs: DataFrame, placed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The packed texts: ``bin_id, bin_tokens, n_tokens, text``, words joined by spaces. ``placed`` is :func:`best_fit` over word counts."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    held = docs.select(F.col(key).alias("doc_id"), words.alias("words")).dropDuplicates(["doc_id"])
+def sequences(docs: DataFrame, lengths=LENGTHS, cost: Cost | None = None, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """The packed texts: ``bin_id, bin_tokens, n_tokens, doc_ids, text``, words joined by spaces, a row for each bin.
+
+    Rows are told apart by all their columns, so a key with several texts, or
+    none, has each of them packed; equal rows are packed as often as they come.
+    Texts without words are in no bin, and an empty table has none.
+    """
+    marked = docs.select(F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)).alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    placed = best_fit(marked, common.word_count(F.col("text")), lengths, cost, "row", group).where("bin_id is not null").withColumnRenamed("doc_id", "row")
+    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    held = marked.dropDuplicates(["row"]).select("row", "doc_id", words.alias("words"))
     part = F.array_join(F.slice("words", (F.col("start") + 1).cast("int"), F.col("n_tokens").cast("int")), " ")
-    cut = placed.where("bin_id is not null").join(held, "doc_id").select("bin_id", "bin_tokens", "n_tokens", F.struct("bin_offset", part.alias("text")).alias("part"))
-    return cut.groupBy("bin_id").agg(
-        F.first("bin_tokens").alias("bin_tokens"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), " ").alias("text"),
+    cut = placed.join(held, "row").select("bin_id", "bin_tokens", "n_tokens", F.struct("bin_offset", "doc_id", part.alias("text")).alias("part"))
+    parts = F.array_sort(F.collect_list("part"))  # a bin's tokens bound what it gathers
+    return cut.groupBy("bin_id").agg(F.first("bin_tokens").alias("bin_tokens"), F.sum("n_tokens").alias("n_tokens"), parts.alias("parts")).select(
+        "bin_id", "bin_tokens", "n_tokens", F.col("parts.doc_id").alias("doc_ids"), F.array_join(F.col("parts.text"), " ").alias("text")
     )
