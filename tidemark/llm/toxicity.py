@@ -144,7 +144,8 @@ def _numbers(found: set[str], index: dict[str, int]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
     """Fit a chain for the categories (name: condition over the columns of ``labels``, in order).
 
-    Rows whose label is null, keys without a document and null keys are left out.
+    Rows whose label is null, keys without a document and null keys are left out;
+    of several texts of one key the one whose sorted features come first counts.
     Where a category has one value only, its probability is constant.
     """
     names = list(categories)
@@ -159,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key:
 
     kind = rows.schema["key"].dataType.simpleString()
     marks = [f"y{i}" for i in range(len(names))]
-    held = common.materialize(rows.mapInArrow(split, f"key {kind}, features array<string>" + "".join(f", {m} int" for m in marks)), "toxicity-sample")
+    found = rows.mapInArrow(split, f"key {kind}, features array<string>" + "".join(f", {m} int" for m in marks))
+    held = common.materialize(found.groupBy("key", *marks).agg(F.min("features").alias("features")).select("key", "features", *marks), "toxicity-sample")  # a row for each key
     total = held.agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in marks]).first()
     counts = held.select(F.explode("features").alias("feature"), *marks).groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in marks]).where(F.col("n") >= LEAST_ROWS)
     chosen: list[set[str]] = [set() for _ in marks]
