@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from helpers import awkward_docs
 from test_toxicity import corpus
 
 from tidemark.llm import common
@@ -28,3 +29,18 @@ def test_stages(spark, tmp_path):
         assert f.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sum(r["n_tokens"] for r in packed.collect()) == sum(len((r["text"] or "").split()) for r in mixed.collect())
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, packed.collect()))
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Nulls, repeats, clashing columns and long texts pass; empty tables give empty results."""
+    docs = awkward_docs(spark)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    for part, labels in (("a", [(1, 1, 0), (2, 0, 1), (None, 1, 1)]), ("b", [(1, 1, 0)]), ("c", [])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/c/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert packed and {"doc_id", "bin_id", "n_tokens"} <= set(packed[0].asDict())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    kept = corpus_pipeline.drop_toxic(spark, common.table(spark, f"{tmp_path}/c", "documents"), f"{tmp_path}/c")
+    assert kept.count() == docs.count() and kept.columns == docs.columns  # without labels nothing is toxic
