@@ -1,3 +1,5 @@
+import random
+import re
 import time
 
 import pytest
@@ -80,6 +82,62 @@ def test_time_is_linear_in_depth():
     assert time.process_time() - start < 20
 
 
+def slow_points(root):
+    """The points of all nodes by their definition, each from the whole tree below it."""
+    seen = lambda n: [c for c in n.children if isinstance(c, html.Node) and not c.hidden]
+    strings = lambda n: [re.sub(r"\s+", " ", c).strip() for c in n.children if isinstance(c, str)]
+    size = lambda n: sum(map(len, strings(n))) + sum(map(size, seen(n)))
+    linked = lambda n: size(n) if n.name == "a" else sum(map(linked, seen(n)))
+    commas = lambda n: sum(len(re.findall("[,،、，]", t)) for t in strings(n)) + sum(map(commas, seen(n)))
+
+    def given(n):
+        loose = n.name in html.BLOCKS and n.name not in html.HEADINGS and any(isinstance(c, str) and c.strip() for c in n.children)
+        inner = any(isinstance(c, html.Node) and c.name in html.PARAGRAPHS for c in n.children)
+        if not size(n) or inner or not (n.name in html.PARAGRAPHS or loose):
+            return None
+        return (1 + commas(n) + min(size(n) / 100, 3)) * (1 - linked(n) / size(n)), n if n.name not in html.PARAGRAPHS else n.parent
+
+    def walk(n):
+        yield n
+        for c in seen(n):
+            yield from walk(c)
+
+    points = {id(n): 0.0 for n in walk(root)}
+    for n in walk(root):
+        got = given(n)
+        at = got and got[1]
+        for level in range(html.LEVELS):
+            if at is None or not got:
+                break
+            points[id(at)] = points.get(id(at), 0.0) + got[0] / (level + 1)
+            at = at.parent
+    for n in walk(root):
+        points[id(n)] *= (1 - linked(n) / size(n) if size(n) else 1) * (1.5 if n.name in ("article", "main") or html.WANTED.search(n.names) else 1) * (0.5 if n.parent is None else 1)
+    return points
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 5)):
+        tag = rng.choice(["p", "div", "section", "ul", "li", "blockquote", "a", "span", "h2", "article", "table"])
+        names = rng.choice(["", "", ' class="content"', ' id="sidebar"'])
+        text = " ".join(rng.choice(["word", "more,", "text", "and so on,"]) for _ in range(rng.randint(0, 40)))
+        out.append(f"<{tag}{names}>{text}{random_page(rng, depth + 1) if depth < 4 and rng.random() < 0.6 else ''}</{tag}>")
+    return "".join(out)
+
+
+def test_points_by_their_definition():
+    rng, some = random.Random(6), 0
+    for _ in range(60):
+        root = html.parse(random_page(rng))
+        want = slow_points(root)
+        html.score(root)
+        for n in html._walk(root):
+            assert n.points == pytest.approx(want[id(n)])
+            some += n.points > 0
+    assert some > 500
+
+
 def test_extract(spark):
     rows = [(i, f"http://h/{i}", page) for i, (page, _) in enumerate(CASES.values())] + [(50, None, None), (51, "u", ""), (51, "u", ""), (None, "u", "<p>x</p>")]
     df = clash(spark.createDataFrame(rows, PAGES))

@@ -56,6 +56,13 @@ def test_later_models_use_predictions_out_of_fold():
     assert ((p[:, 1] > 0.5) == first).all()
 
 
+def test_limits():
+    y = np.array([1, 1, 0, 0])
+    assert toxicity.best_limit(np.array([0.9, 0.7, 0.3, 0.1]), y) == 0.5
+    assert toxicity.best_limit(np.zeros(0), y[:0]) == 1.0 and toxicity.best_limit(np.full(4, 0.5), y) == 1.0  # nothing tells them apart
+    assert toxicity.best_limit(np.full(2, 0.2), y[2:]) == 0.5
+
+
 def test_awkward_rows(spark):
     df = awkward_docs(spark)
     labels = df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
@@ -64,5 +71,5 @@ def test_awkward_rows(spark):
     assert toxicity.accept(df, chain).columns == df.columns
     none = toxicity.fit(df, empty(labels), toxicity.label_categories())
     assert [r["rejected"] for r in toxicity.score(empty(df), none).collect()] == []
-    assert toxicity.score(df, none).count() == df.count()
+    assert not any(r["rejected"] for r in toxicity.score(df, none).collect()) and toxicity.score(df, none).count() == df.count()
     assert toxicity.accept(empty(df), toxicity.fit(empty(df), labels, toxicity.label_categories())).count() == 0

@@ -96,16 +96,21 @@ def fit_linear(owner: np.ndarray, flat: np.ndarray, dense: np.ndarray, width: in
 
 
 def best_limit(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability that splits best by F1, in the middle between neighbours; 0.5 where nothing can be told."""
-    if not len(y) or y.min() == y.max():
+    """The probability that splits best by F1, in the middle between neighbours.
+
+    Where all rows agree it is 0.5. Where there are none, or no cut is better than
+    to reject all rows, it is 1, so that nothing is rejected.
+    """
+    if not len(y):
+        return 1.0
+    if y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # a cut between equal ones isn't one
     at = int(np.argmax(f1))
-    below = p[order][at + 1] if at + 1 < len(y) else 0.0
-    return float((p[order][at] + below) / 2)
+    return float((p[order][at] + p[order][at + 1]) / 2) if at + 1 < len(y) else 1.0
 
 
 def fit_chain(categories: list[str], vocabulary: list[str], chosen: list[set[str]], rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> Chain:
