@@ -135,9 +135,12 @@ def read_metadata(spark: SparkSession, folder: str, key: str, default=None):
 
 
 def read_bulk(spark: SparkSession, path: str, types: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    """Entities by collection of a JSON document ``{collection: [entity, ...]}``."""
+    """Entities by collection of JSON documents ``{collection: [entity, ...]}``, a file each; read once and written for all collections.
+
+    A document is parsed by one task, so large bulks are best given as many files.
+    """
     whole = T.StructType([T.StructField(name, T.ArrayType(t)) for name, t in types.items()])
-    rows = spark.read.schema(whole).option("multiLine", True).json(path)
+    rows, _ = held(spark.read.schema(whole).option("multiLine", True).json(path), "bulk")
     return {name: rows.select(F.explode(F.col(name)).alias("e")).select("e.*") for name in types}
 
 
