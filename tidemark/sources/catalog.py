@@ -57,15 +57,20 @@ class Catalog:
             self._frames[name] = base
         return self._frames[name]
 
-    def some(self, name: str, ids: DataFrame, id_column: str) -> DataFrame:
-        """The entities of a collection whose ids are in the only column of ``ids``: only they meet the changesets."""
-        ids = ids.select(F.col(ids.columns[0]).alias(id_column)).distinct()
+    def some(self, name: str, ids: DataFrame, id_column: str, newest: bool = False) -> DataFrame:
+        """The entities of a collection whose ids are in the only column of ``ids``: only they meet the changesets.
+
+        ``newest`` tells that these are the ids of the newest changeset, which needn't be reduced to them.
+        """
+        ids = ids.select(F.col(ids.columns[0]).alias(id_column))
         base = self._base(name).join(ids, id_column, "left_semi")
         if name not in self._parts:
             return base
         from ..operators.changes import overlay
 
-        return overlay(base, *[p.join(ids, id_column, "left_semi") for p in self._parts[name][1]], id_column=id_column)
+        *parts, last = self._parts[name][1]
+        reduced = [p.join(ids, id_column, "left_semi") for p in parts]
+        return overlay(base, *reduced, last if newest else last.join(ids, id_column, "left_semi"), id_column=id_column)
 
     def types(self, name: str) -> T.StructType:
         if name not in self._types:

@@ -50,10 +50,17 @@ class View:
     query: Query
     rows: DataFrame
     path: str | None = None
+    #: Whether it has as many rows as its limit allows, so that the collection may hold others.
+    full: bool = False
 
     @classmethod
     def open(cls, db: Database, query: Query) -> View:
-        return cls(db, query, *H.held(db.fetch(query.select()), "view"))
+        return cls.of(db, query, *H.held(db.fetch(query.select()), "view"))
+
+    @classmethod
+    def of(cls, db: Database, query: Query, rows: DataFrame, path: str | None = None) -> View:
+        """The view of a result that is written already."""
+        return cls(db, query, rows, path, bool(query.limit) and rows.count() >= query.limit)
 
     def close(self) -> None:
         """Delete what is kept of the result."""
@@ -81,35 +88,45 @@ class View:
         if not collections_of(prepared) & changes.keys():
             return replace(self, db=after)
         if _flat(prepared):
-            rows = self._update_flat(after, prepared, changes[prepared.collection])
-        elif _one_level(prepared):
+            part = changes[prepared.collection]
+            return self._update_top(after, prepared, part) if prepared.limit else View(after, self.query, *H.held(self._sorted(after, prepared, self._changed(after, prepared, part)), "view"))
+        if _one_level(prepared):
             rows = self._update_parents(after, prepared, changes)
         else:
             rows = after.fetch(self.query.select())
-        return View(after, self.query, *H.held(rows, "view"))
+        return View.of(after, self.query, *H.held(rows, "view"))
 
-    def _update_flat(self, after: Database, prepared: Query, part: DataFrame) -> DataFrame:
+    def _changed(self, after: Database, prepared: Query, part: DataFrame) -> DataFrame:
+        """The kept rows without entities that changed, and those of them that match now."""
         ctx = after.context()
         id_column = ctx.id_of(prepared.collection)
-        ids = part.select(id_column).distinct()
-        new = after.catalog.some(prepared.collection, ids, id_column)
+        new = after.catalog.some(prepared.collection, part.select(id_column), id_column, newest=True)
         come = Compiler(lambda _: new, ctx).compile(replace(prepared, ordering=(), limit=None))
-        whole = self.rows.join(ids, id_column, "left_anti").unionByName(come)
-        if prepared.limit and self.rows.count() >= prepared.limit and self._short(after, prepared, whole):
-            return after.fetch(self.query.select())
-        return self._sorted(after, prepared, whole)
-
-    def _short(self, after: Database, prepared: Query, whole: DataFrame) -> bool:
-        """Whether fewer rows than the limit come no later than the last one did before; others are to be found in the collection then."""
-        ctx = after.context()
-        back = replace(prepared, filters=(), cursor=None, ordering=tuple((p, "DESC" if d == "ASC" else "ASC") for p, d in prepared.ordering))
-        frame = scan(prepared.collection, self.rows)
-        keys = Compiler(lambda _: self.rows, ctx)._sort_keys(frame, back)[:-1]
-        last = frame.df.orderBy(*keys, frame.column(ctx.id_of(prepared.collection), ctx).desc()).limit(1).select([F.col(f"`{n}`").alias(c) for c, n in frame.columns.items()])
-        marked = scan(prepared.collection, whole.withColumn("__last", F.lit(0)).unionByName(last.withColumn("__last", F.lit(1))))
+        return self.rows.join(part.select(id_column), id_column, "left_anti").unionByName(come)
+
+    def _update_top(self, after: Database, prepared: Query, part: DataFrame) -> View:
+        """The first of what is kept and what came. What was last before is marked among them, and what is known to be
+        complete ends there, as others may come next in the collection: it is read where fewer than the limit come before the mark.
+        """
+        ctx, limit = after.context(), prepared.limit
+        whole = self._changed(after, prepared, part).withColumn("__last", F.lit(0))
+        if self.full:
+            turned = replace(prepared, ordering=tuple((p, "DESC" if d == "ASC" else "ASC") for p, d in prepared.ordering))
+            frame = scan(prepared.collection, self.rows)
+            keys = Compiler(lambda _: self.rows, ctx)._sort_keys(frame, turned)[:-1]
+            last = frame.df.orderBy(*keys, frame.column(ctx.id_of(prepared.collection), ctx).desc()).limit(1)
+            whole = whole.unionByName(last.select([F.col(f"`{n}`").alias(c) for c, n in frame.columns.items()]).withColumn("__last", F.lit(1)))
+        marked = scan(prepared.collection, whole)
         mark = F.col(f"`{marked.columns['__last']}`")
-        first = marked.df.orderBy(*Compiler(lambda _: whole, ctx)._sort_keys(marked, prepared), mark).limit(prepared.limit)
-        return not first.where(mark == 1).isEmpty()
+        first = marked.df.orderBy(*Compiler(lambda _: whole, ctx)._sort_keys(marked, prepared), mark).limit(limit + 1)
+        # a limited order is one partition, so the numbers are places in it
+        top, path = H.held(first.select([F.col(f"`{n}`").alias(c) for c, n in marked.columns.items()]).withColumn("__place", F.monotonically_increasing_id()), "view")
+        shown = (F.col("__last") == 0) & (F.col("__place") < limit)
+        seen = top.agg(F.min(F.when(F.col("__last") == 1, F.col("__place"))).alias("mark"), F.count(F.when(shown, 1)).alias("n")).first()
+        if seen["mark"] is not None and seen["mark"] < limit:
+            H.drop(top.sparkSession, path)
+            return View.of(after, self.query, *H.held(after.fetch(self.query.select()), "view"))
+        return View(after, self.query, top.where(shown).orderBy("__place").drop("__last", "__place"), path, seen["n"] >= limit)
 
     def _sorted(self, after: Database, prepared: Query, rows: DataFrame) -> DataFrame:
         compiler = Compiler(lambda _: rows, after.context())
@@ -256,7 +273,7 @@ def live_query(
         before = at(batch - 1)
         rows = db.fetch(query.select()) if batch == 0 else None
         kept = H.written(rows, f"{folder}/rows--1") if rows is not None else spark.read.schema(before.fetch(query.select()).schema).parquet(f"{folder}/rows-{batch - 1}")
-        view = View(before, query, kept)
+        view = View.of(before, query, kept)
         part = H.written(part, f"{folder}/changes-{batch}")
         new = view.apply({collection: part})
         rows = H.written(new.rows, f"{folder}/rows-{batch}")
